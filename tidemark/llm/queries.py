@@ -10,15 +10,33 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import read_table
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.simhash import fingerprint_hex, simhash_components
+from tidemark.llm.substring_dedup import window_dedup
+from tidemark.llm.suffix_dedup import substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(read_table(spark, sf_dir, "documents"), window=400).select(
+        "doc_id",
+        F.col("n").alias("n_bytes"),
+        "n_removed",
+        F.size("spans").cast("long").alias("n_spans"),
+        F.lower(F.hex("kept_sha")).alias("kept_sha256"),
+    )
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = simhash_components(read_table(spark, sf_dir, "documents"), shingle=3, radius=2)
     return parts.select("doc_id", fingerprint_hex("fp").alias("fingerprint"), "component_id")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_dedup(read_table(spark, sf_dir, "documents"), window=35).select(
+        "doc_id", F.col("n").alias("n_words"), "n_removed", F.lower(F.hex("kept_sha")).alias("kept_sha256")
+    )
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -32,7 +50,9 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_simhash": op3_simhash,
+        "op4_substring_dedup": op4_substring_dedup,
         "op9_exact_dedup": op9_exact_dedup,
     }
 
