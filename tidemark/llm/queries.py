@@ -12,10 +12,21 @@ from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.simhash import fingerprint_hex, simhash_components
 from tidemark.llm.substring_dedup import window_dedup
 from tidemark.llm.suffix_dedup import substring_dedup
+from tidemark.llm.token_output import read_tokens, write_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_tokens(write_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read_table(spark, sf_dir, "documents"), window=400).select(
         "doc_id",
@@ -50,6 +61,7 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_token_output": op1_token_output,
         "op2_suffix_dedup": op2_suffix_dedup,
         "op3_simhash": op3_simhash,
         "op4_substring_dedup": op4_substring_dedup,
