@@ -21,7 +21,7 @@ def make_folder(uri: str) -> None:
 
 def create(uri: str):
     store, path = _split(uri)
-    return store.open_output_stream(path)
+    return store.open_output_stream(path, compression=None)
 
 
 def open_file(uri: str):
