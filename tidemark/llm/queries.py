@@ -13,6 +13,7 @@ from tidemark.llm.simhash import fingerprint_hex, simhash_components
 from tidemark.llm.substring_dedup import window_dedup
 from tidemark.llm.suffix_dedup import substring_dedup
 from tidemark.llm.token_output import read_tokens, write_tokens
+from tidemark.llm.warc import arc_to_warc, pages_to_arc, read_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,10 +49,30 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = arc_to_warc(pages_to_arc(read_table(spark, sf_dir, "pages"), version=2), min_payload=0)
+    return read_warc(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+#: Base32 of a SHA-1 in hex: every five hex digits are four characters.
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, {1 + 5 * i}, 5))::BIGINT >> {s}) & 31) + 1)::BIGINT, 1)"
+    for i in range(8)
+    for s in (15, 10, 5, 0)
+)
+SQL_OP6 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+     g AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to
+FROM g
+"""
+
 SQL_OP9 = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -65,9 +86,10 @@ def queries() -> dict[str, Query]:
         "op2_suffix_dedup": op2_suffix_dedup,
         "op3_simhash": op3_simhash,
         "op4_substring_dedup": op4_substring_dedup,
+        "op6_warc": op6_warc,
         "op9_exact_dedup": op9_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": SQL_OP9}
+    return {"op6_warc": SQL_OP6, "op9_exact_dedup": SQL_OP9}
