@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import read_table
 from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.langid import identify_held_out
+from tidemark.llm.quality import classify_quality
 from tidemark.llm.simhash import fingerprint_hex, simhash_components
 from tidemark.llm.substring_dedup import window_dedup
 from tidemark.llm.suffix_dedup import substring_dedup
@@ -49,11 +51,25 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = arc_to_warc(pages_to_arc(read_table(spark, sf_dir, "pages"), version=2), min_payload=0)
     return read_warc(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def pieces_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_held_out(read_table(spark, sf_dir, "documents"), pieces_path())
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -86,7 +102,9 @@ def queries() -> dict[str, Query]:
         "op2_suffix_dedup": op2_suffix_dedup,
         "op3_simhash": op3_simhash,
         "op4_substring_dedup": op4_substring_dedup,
+        "op5_quality": op5_quality,
         "op6_warc": op6_warc,
+        "op8_langid": op8_langid,
         "op9_exact_dedup": op9_exact_dedup,
     }
 
