@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import read_table
+from tidemark.llm.decontaminate import find_leaks
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.langid import identify_held_out
+from tidemark.llm.mixing import mix_probabilities, mixing_sql
 from tidemark.llm.quality import classify_quality
 from tidemark.llm.simhash import fingerprint_hex, simhash_components
 from tidemark.llm.substring_dedup import window_dedup
@@ -60,6 +62,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mix_probabilities(read_table(spark, sf_dir, "documents"))
+    return rows.withColumns({c: F.round(c, 9) for c in ("weight", "probability")})
+
+
 def pieces_path() -> str:
     import public_tokenizers
 
@@ -74,6 +81,11 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return leaks.withColumn("score", F.round("score", 6))
+
+
 #: Base32 of a SHA-1 in hex: every five hex digits are four characters.
 _BASE32 = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, {1 + 5 * i}, 5))::BIGINT >> {s}) & 31) + 1)::BIGINT, 1)"
@@ -89,6 +101,8 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_BASE32} AS payload_dige
 FROM g
 """
 
+SQL_OP7 = mixing_sql()
+
 SQL_OP9 = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -104,10 +118,12 @@ def queries() -> dict[str, Query]:
         "op4_substring_dedup": op4_substring_dedup,
         "op5_quality": op5_quality,
         "op6_warc": op6_warc,
+        "op7_mixing": op7_mixing,
         "op8_langid": op8_langid,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_decontaminate": op10_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": SQL_OP6, "op9_exact_dedup": SQL_OP9}
+    return {"op6_warc": SQL_OP6, "op7_mixing": SQL_OP7, "op9_exact_dedup": SQL_OP9}
