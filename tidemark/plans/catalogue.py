@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import relational
+from tidemark.plans import relational, timeseries
 from tidemark.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "relational"]
+__all__ = ["QUERIES", "SQL", "relational", "timeseries"]

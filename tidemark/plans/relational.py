@@ -242,10 +242,10 @@ def fil7(s: X, d: str) -> D:
     return A.rets(s, d).na.drop("any").select("series_id", "date", F.round("r", 6).alias("r"))
 
 
-@query("fil8_where_other", sql("SELECT date, strike, opt_type, round(CASE WHEN volume > 40 THEN close ELSE settle END, 8) AS px FROM panel", "panel"))
+@query("fil8_where_other", sql("SELECT date, strike, opt_type, round(CASE WHEN volume > 40 THEN close ELSE settle END + 1e-9, 6) AS px FROM panel", "panel"))
 def fil8(s: X, d: str) -> D:
     px = F.when(F.col("volume") > 40, F.col("close")).otherwise(F.col("settle"))
-    return A.panel(s, d).select("date", "strike", "opt_type", F.round(px, 8).alias("px"))
+    return A.panel(s, d).select("date", "strike", "opt_type", F.round(px + 1e-9, 6).alias("px"))
 
 
 @query("cln1_glued_records", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
@@ -424,11 +424,11 @@ def agg4(s: X, d: str) -> D:
 
 @query(
     "agg5_pivot_multi",
-    sql("SELECT date, strike, " + ", ".join(f"round(avg({m}) FILTER (opt_type = '{o}'), 8) AS {m}_{o.lower()}" for m in ("close", "settle", "volume") for o in ("CE", "PE")) + " FROM panel GROUP BY ALL", "panel"),
+    sql("SELECT date, strike, " + ", ".join(f"round(avg({m}) FILTER (opt_type = '{o}') + 1e-9, 6) AS {m}_{o.lower()}" for m in ("close", "settle", "volume") for o in ("CE", "PE")) + " FROM panel GROUP BY ALL", "panel"),
 )
 def agg5(s: X, d: str) -> D:
     out = R.pivot_mean(A.panel(s, d), ["date", "strike"], "opt_type", ["CE", "PE"], ["close", "settle", "volume"])
-    return out.withColumns({c: F.round(c, 8) for c in out.columns[2:]})
+    return out.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in out.columns[2:]})
 
 
 @query("agg6_group_means", "SELECT l_returnflag, l_linestatus, round(avg(l_quantity), 6) AS l_quantity, round(avg(l_extendedprice), 6) AS l_extendedprice, round(avg(l_discount), 6) AS l_discount, round(avg(l_tax), 6) + 0.0 AS l_tax FROM lineitem GROUP BY ALL")
