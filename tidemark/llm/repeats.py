@@ -185,17 +185,28 @@ def candidates(docs: DataFrame, profiles: DataFrame, prints: DataFrame, id_col:
     return materialize(found.select("dg", "text", "prints"), "candidates")
 
 
-def _blocks(shape: Shape) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-    """Blocks of a text: core key, content hash, and the units a to b that the block spans."""
+_BLOCK_ROWS = "dg binary, key long, snip long, a long, b long, first long, last long"
+
+
+def _blocks(shape: Shape, by_print: bool) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    """Blocks of a text: core key, content hash, and the units a to b that the block spans.
+
+    Of the window starts whose fingerprint is listed, or of those in the listed ranges.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         dgs, keys, snips, lows, highs, firsts, lasts = [], [], [], [], [], [], []
         digest = xxhash.xxh64_intdigest
-        for dg, text, prints in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist()):
+        wanted = batch.column(2).to_pylist()
+        for dg, text, want in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), wanted):
             units = Units(text, shape)
             at, hashes, own = anchored(units, shape)
-            hit = np.isin(np.array(hashes, dtype=np.uint64).view(np.int64), np.array(prints, dtype=np.int64))
-            live = np.flatnonzero(hit[own])  # window starts with a repeated fingerprint
+            if by_print:
+                hit = np.isin(np.array(hashes, dtype=np.uint64).view(np.int64), np.array(want, dtype=np.int64))
+                live = np.flatnonzero(hit[own])
+            else:
+                ranges = [np.arange(r["first"], r["last"] + 1) for r in want]
+                live = np.unique(np.concatenate(ranges)) if ranges else np.zeros(0, dtype=np.int64)
             if not len(live):
                 continue
             place = at[own[live]]
@@ -229,14 +240,9 @@ def _blocks(shape: Shape) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
     return run
 
 
-def blocks(cands: DataFrame, shape: Shape) -> tuple[DataFrame, DataFrame]:
-    """Scratch tables of blocks whose core repeats: settled spans ``(dg, a, b)``, and mixed blocks.
-
-    Mixed blocks are ``(dg, key, snip, a, b, first, last, places)``; first and last are the window
-    starts that the block's anchor stands for, places the number of blocks with that core.
-    """
-    schema = "dg binary, key long, snip long, a long, b long, first long, last long"
-    rows = materialize(map_arrow(cands, _blocks(shape), schema), "blocks")
+def _judge(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Settled spans and mixed blocks of block rows."""
+    rows = materialize(rows, "blocks")
     cores = (
         rows.groupBy("key")
         .agg(F.count(F.lit(1)).alias("places"), F.min("snip").alias("s0"), F.max("snip").alias("s1"))
@@ -244,8 +250,23 @@ def blocks(cands: DataFrame, shape: Shape) -> tuple[DataFrame, DataFrame]:
         .select("key", (F.col("s0") == F.col("s1")).alias("same"), "places")
     )
     judged = materialize(rows.join(cores, "key"), "judged")
-    same = judged.where("same").select("dg", "a", "b")
-    return same, judged.where("not same").drop("same")
+    return judged.where("same").select("dg", "a", "b"), judged.where("not same").drop("same")
+
+
+def refine(cands: DataFrame, mixed: DataFrame, shape: Shape) -> tuple[DataFrame, DataFrame]:
+    """Cut mixed blocks into those of a finer shape, and judge them again."""
+    todo = mixed.groupBy("dg").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("r"))
+    todo = cands.select("dg", "text").join(todo, "dg").select("dg", "text", "r")
+    return _judge(map_arrow(todo, _blocks(shape, by_print=False), _BLOCK_ROWS))
+
+
+def blocks(cands: DataFrame, shape: Shape) -> tuple[DataFrame, DataFrame]:
+    """Scratch tables of blocks whose core repeats: settled spans ``(dg, a, b)``, and mixed blocks.
+
+    Mixed blocks are ``(dg, key, snip, a, b, first, last, places)``; first and last are the window
+    starts that the block's anchor stands for, places the number of blocks with that core.
+    """
+    return _judge(map_arrow(cands, _blocks(shape, by_print=True), _BLOCK_ROWS))
 
 
 def exact_windows(cands: DataFrame, mixed: DataFrame, shape: Shape) -> DataFrame:
@@ -275,7 +296,7 @@ def exact_windows(cands: DataFrame, mixed: DataFrame, shape: Shape) -> DataFrame
     todo = cands.select("dg", "text").join(todo, "dg").select("dg", "text", "r.first", "r.last")
     rows = materialize(map_arrow(todo, run, "dg binary, a long, h binary"), "windows")
     often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
-    return rows.join(often, "h").select("dg", "a", (F.col("a") + shape.window).alias("b"))
+    return materialize(rows.join(often, "h").select("dg", "a", (F.col("a") + shape.window).alias("b")), "window-spans")
 
 
 def _cut_out(shape: Shape) -> Callable[[pa.RecordBatch], pa.RecordBatch]:

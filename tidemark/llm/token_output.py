@@ -38,12 +38,17 @@ CACHE_CHUNKS = 1_500_000
 DOC = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("start", "<u8"), ("n", "<u8"), ("frame", "<u4"), ("at", "<u8")])
 
 
+#: Marks that byte-level pre-tokenisation keeps apart from a word that they follow.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class Encoder:
     """Ids of texts, with those of pieces between spaces kept.
 
     Byte-level pre-tokenisation never joins a space to what stands before it, so a text may be
     encoded piece by piece, cut before every space, as long as white space does not come in runs
-    that touch a cut. Texts with such runs are encoded whole.
+    that touch a cut. Texts with such runs are encoded whole. Marks after a word are cut off too,
+    as the pre-tokenisation does, so a word is encoded once whatever follows it.
     """
 
     def __init__(self, path: str):
@@ -53,37 +58,70 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.code: dict[str, int] = {}  # piece with its leading space, or a text's first piece
+        self.spaced: dict[str, int] = {}  # pieces that follow a space, without it
+        self.bare: dict[str, int] = {}  # a text's first piece, and marks
         self.flat = np.zeros(1 << 20, dtype=np.uint32)
         self.start = np.zeros(1 << 16, dtype=np.int64)
         self.size = np.zeros(1 << 16, dtype=np.int64)
         self.whole = np.zeros(1 << 16, dtype=bool)
-        self.used = 0
-
-    def _learn(self, pieces: list[str]) -> None:
-        for piece, found in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
-            ids, code = found.ids, len(self.code)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if code >= len(self.start):
-                self.start, self.size, self.whole = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.whole))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.start[code], self.size[code] = self.used, len(ids)
-            body = piece[1:] if piece[:1] == " " else piece
-            self.whole[code] = not body or body[0].isspace() or body[-1].isspace()
-            self.used += len(ids)
-            self.code[piece] = code
+        self.used = self.count = 0
+
+    def _store(self, piece: str, ids: list[int]) -> int:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        code = self.count
+        if code >= len(self.start):
+            self.start, self.size, self.whole = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.whole))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[code], self.size[code] = self.used, len(ids)
+        self.whole[code] = not piece or piece[0].isspace() or piece[-1].isspace()
+        self.used += len(ids)
+        self.count += 1
+        return code
+
+    def _ids(self, code: int) -> list[int]:
+        return self.flat[self.start[code] : self.start[code] + self.size[code]].tolist()
+
+    def _encode(self, known: dict[str, int], lead: str, pieces: list[str]) -> None:
+        for piece, found in zip(pieces, self.tokenizer.encode_batch_fast([lead + p for p in pieces], add_special_tokens=False)):
+            known[piece] = self._store(piece, found.ids)
+
+    def _learn(self, known: dict[str, int], lead: str, pieces: set[str]) -> None:
+        cut, plain, marks = [], set(), set()
+        for piece in pieces:
+            word = piece.rstrip(MARKS)
+            if len(word) < len(piece) and word.isalpha():
+                cut.append((piece, word, piece[len(word) :]))
+                plain.add(word)
+                marks.add(piece[len(word) :])
+            else:
+                plain.add(piece)
+        self._encode(known, lead, [p for p in plain if p not in known])
+        self._encode(self.bare, "", [p for p in marks if p not in self.bare])
+        for piece, word, mark in cut:
+            if piece not in known:
+                known[piece] = self._store(piece, self._ids(known[word]) + self._ids(self.bare[mark]))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.code) > CACHE_CHUNKS:
+        if self.count > CACHE_CHUNKS:
             self._clear()
-        split = [[t] if " " not in t else [p if not i else " " + p for i, p in enumerate(t.split(" "))] for t in texts]
-        missing = {p for pieces in split for p in pieces if p not in self.code}
+        split = [t.split(" ") for t in texts]
+        self._learn(self.bare, "", {pieces[0] for pieces in split if pieces[0] not in self.bare})
+        get, coded, missing = self.spaced.get, [], set()
+        for pieces in split:
+            first = self.bare[pieces[0]]
+            codes = list(map(get, pieces))
+            codes[0] = first
+            if None in codes:
+                missing.update(p for p, c in zip(pieces, codes) if c is None)
+            coded.append(codes)
         if missing:
-            self._learn(list(missing))
+            self._learn(self.spaced, " ", missing)
         out = []
-        for text, pieces in zip(texts, split):
-            codes = np.fromiter(map(self.code.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        for text, pieces, codes in zip(texts, split, coded):
+            if None in codes:
+                codes = [c if c is not None else get(p) for p, c in zip(pieces, codes)]
+            codes = np.array(codes, dtype=np.int64)
             if not text:
                 out.append(np.zeros(0, dtype=np.uint32))
             elif len(pieces) > 1 and self.whole[codes].any():
