@@ -13,6 +13,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -60,47 +61,59 @@ class Encoder:
     def _clear(self) -> None:
         self.spaced: dict[str, int] = {}  # pieces that follow a space, without it
         self.bare: dict[str, int] = {}  # a text's first piece, and marks
-        self.flat = np.zeros(1 << 20, dtype=np.uint32)
-        self.start = np.zeros(1 << 16, dtype=np.int64)
-        self.size = np.zeros(1 << 16, dtype=np.int64)
-        self.whole = np.zeros(1 << 16, dtype=bool)
+        self.flat = np.zeros(0, dtype=np.uint32)
         self.used = self.count = 0
+        # a piece's ids are two stretches of flat: of its word, and of the marks after it
+        self.start, self.size = np.zeros((2, 0, 2), dtype=np.int64)
+        self.whole = np.zeros(0, dtype=bool)
+
+    @staticmethod
+    def _room(old: np.ndarray, n: int) -> np.ndarray:
+        """``old``, enlarged to at least n rows."""
+        if n <= len(old):
+            return old
+        out = np.zeros((max(n, 2 * len(old)), *old.shape[1:]), dtype=old.dtype)
+        out[: len(old)] = old
+        return out
 
-    def _store(self, piece: str, ids: list[int]) -> int:
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        code = self.count
-        if code >= len(self.start):
-            self.start, self.size, self.whole = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.whole))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.start[code], self.size[code] = self.used, len(ids)
-        self.whole[code] = not piece or piece[0].isspace() or piece[-1].isspace()
-        self.used += len(ids)
-        self.count += 1
-        return code
-
-    def _ids(self, code: int) -> list[int]:
-        return self.flat[self.start[code] : self.start[code] + self.size[code]].tolist()
+    def _store(self, known: dict[str, int], pieces: list[str], start: np.ndarray, size: np.ndarray) -> None:
+        n = self.count + len(pieces)
+        self.start, self.size, self.whole = self._room(self.start, n), self._room(self.size, n), self._room(self.whole, n)
+        self.start[self.count : n], self.size[self.count : n] = start, size
+        self.whole[self.count : n] = [not p or p.strip() is not p for p in pieces]
+        known.update(zip(pieces, range(self.count, n)))
+        self.count = n
 
     def _encode(self, known: dict[str, int], lead: str, pieces: list[str]) -> None:
-        for piece, found in zip(pieces, self.tokenizer.encode_batch_fast([lead + p for p in pieces], add_special_tokens=False)):
-            known[piece] = self._store(piece, found.ids)
+        if not pieces:
+            return
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast([lead + p for p in pieces], add_special_tokens=False)]
+        size = np.zeros((len(pieces), 2), dtype=np.int64)
+        size[:, 0] = list(map(len, ids))
+        end = self.used + np.cumsum(size[:, 0])
+        self.flat = self._room(self.flat, int(end[-1]))
+        self.flat[self.used : end[-1]] = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(end[-1]) - self.used)
+        self.used = int(end[-1])
+        self._store(known, pieces, np.stack([end - size[:, 0], end], axis=1), size)
 
     def _learn(self, known: dict[str, int], lead: str, pieces: set[str]) -> None:
-        cut, plain, marks = [], set(), set()
+        cut, words, marks, plain = [], [], [], set()
         for piece in pieces:
             word = piece.rstrip(MARKS)
-            if len(word) < len(piece) and word.isalpha():
-                cut.append((piece, word, piece[len(word) :]))
-                plain.add(word)
-                marks.add(piece[len(word) :])
+            if word is not piece and word.isalpha():
+                cut.append(piece)
+                words.append(word)
+                marks.append(piece[len(word) :])
             else:
                 plain.add(piece)
+        plain.update(words)
         self._encode(known, lead, [p for p in plain if p not in known])
-        self._encode(self.bare, "", [p for p in marks if p not in self.bare])
-        for piece, word, mark in cut:
-            if piece not in known:
-                known[piece] = self._store(piece, self._ids(known[word]) + self._ids(self.bare[mark]))
+        self._encode(self.bare, "", [p for p in set(marks) if p not in self.bare])
+        if cut:
+            first = np.array([known[w] for w in words])
+            second = np.array([self.bare[m] for m in marks])
+            start = np.stack([self.start[first, 0], self.start[second, 0]], axis=1)
+            self._store(known, cut, start, np.stack([self.size[first, 0], self.size[second, 0]], axis=1))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.count > CACHE_CHUNKS:
@@ -127,9 +140,9 @@ class Encoder:
             elif len(pieces) > 1 and self.whole[codes].any():
                 out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32))
             else:
-                size = self.size[codes]
+                size = self.size[codes].ravel()
                 end = np.cumsum(size)
-                at = np.repeat(self.start[codes] - (end - size), size) + np.arange(end[-1])
+                at = np.repeat(self.start[codes].ravel() - (end - size), size) + np.arange(end[-1])
                 out.append(self.flat[at])
         return out
 
