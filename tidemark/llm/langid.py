@@ -30,7 +30,7 @@ UNKNOWN = 1e-6
 CACHE_WORDS = 1_000_000
 
 # Bounds of the fit: labelled documents and distinct words of each language.
-FIT_DOCUMENTS = 4000
+FIT_DOCUMENTS = 1000
 FIT_WORDS = 60_000
 FIT_ROUNDS = 4
 
