@@ -19,7 +19,12 @@ from tidemark.session import table
 
 D = DataFrame
 X = SparkSession
-w3 = W.by_date("series_id")
+
+
+def w3():
+    return W.by_date("series_id")
+
+
 V = "(PARTITION BY series_id ORDER BY date)"
 
 
@@ -34,12 +39,12 @@ def win1(s: X, d: str) -> D:
 
 @query("win2_pct_change", sql(f"SELECT series_id, date, round(price / lag(price) OVER {V} - 1, 6) + 0.0 AS r FROM prices", "prices"))
 def win2(s: X, d: str) -> D:
-    return A.prices(s, d).select("series_id", "date", q6(W.simple_return(F.col("price"), w3)).alias("r"))
+    return A.prices(s, d).select("series_id", "date", q6(W.simple_return(F.col("price"), w3())).alias("r"))
 
 
 @query("win3_shift", sql(f"SELECT series_id, date, round(coalesce(lag(price, 2) OVER {V}, 0), 4) AS p2 FROM prices", "prices"))
 def win3(s: X, d: str) -> D:
-    return A.prices(s, d).select("series_id", "date", F.round(W.shifted(F.col("price"), 2, w3, 0.0), 4).alias("p2"))
+    return A.prices(s, d).select("series_id", "date", F.round(W.shifted(F.col("price"), 2, w3(), 0.0), 4).alias("p2"))
 
 
 @query(
@@ -47,7 +52,7 @@ def win3(s: X, d: str) -> D:
     sql("SELECT series_id, date, round(CASE WHEN count(r) OVER w = 21 THEN avg(r) OVER w END, 6) + 0.0 AS m FROM rets WINDOW w AS (PARTITION BY series_id ORDER BY date ROWS 20 PRECEDING)", "rets"),
 )
 def win4(s: X, d: str) -> D:
-    return A.rets(s, d).select("series_id", "date", q6(W.rolling_mean(F.col("r"), 21, w3)).alias("m"))
+    return A.rets(s, d).select("series_id", "date", q6(W.rolling_mean(F.col("r"), 21, w3())).alias("m"))
 
 
 @query(
@@ -56,7 +61,7 @@ def win4(s: X, d: str) -> D:
 )
 def win5(s: X, d: str) -> D:
     monday = F.when(F.dayofweek("date") == 2, F.col("price"))
-    return A.prices(s, d).withColumn("m", monday).select("series_id", "date", F.round(W.forward_fill(F.col("m"), w3), 4).alias("p"))
+    return A.prices(s, d).withColumn("m", monday).select("series_id", "date", F.round(W.forward_fill(F.col("m"), w3()), 4).alias("p"))
 
 
 def ewm_sql(x: str, h: int, source: str = "i") -> str:
@@ -88,13 +93,13 @@ cte("wealth", f"SELECT series_id, date, r, exp(sum(ln(1 + r)) OVER {V}) AS wealt
 
 @query("win7_wealth", sql("SELECT series_id, date, round(wealth, 6) AS wealth FROM wealth", "wealth"))
 def win7(s: X, d: str) -> D:
-    return small_returns(s, d).select("series_id", "date", F.round(W.wealth(F.col("r"), w3), 6).alias("wealth"))
+    return small_returns(s, d).select("series_id", "date", F.round(W.wealth(F.col("r"), w3()), 6).alias("wealth"))
 
 
 @query("win8_drawdown", sql(f"SELECT series_id, date, round(wealth / max(wealth) OVER {V} - 1, 6) + 0.0 AS drawdown FROM wealth", "wealth"))
 def win8(s: X, d: str) -> D:
-    rows = small_returns(s, d).withColumn("wealth", W.wealth(F.col("r"), w3))
-    return rows.select("series_id", "date", q6(F.col("wealth") / W.running_max(F.col("wealth"), w3) - 1).alias("drawdown"))
+    rows = small_returns(s, d).withColumn("wealth", W.wealth(F.col("r"), w3()))
+    return rows.select("series_id", "date", q6(F.col("wealth") / W.running_max(F.col("wealth"), w3()) - 1).alias("drawdown"))
 
 
 @query(
@@ -109,7 +114,7 @@ def win9(s: X, d: str) -> D:
 
 @query("win11_gaps", sql("SELECT series_id, date, datediff('day', date, lead(date) OVER (PARTITION BY series_id ORDER BY date))::INT AS gap FROM prices", "prices"))
 def win11(s: X, d: str) -> D:
-    return A.prices(s, d).select("series_id", "date", F.datediff(F.lead("date").over(w3), F.col("date")).alias("gap"))
+    return A.prices(s, d).select("series_id", "date", F.datediff(F.lead("date").over(w3()), F.col("date")).alias("gap"))
 
 
 @query(
@@ -131,14 +136,14 @@ def win12(s: X, d: str) -> D:
     sql("""SELECT e.p AS pos, count(*) AS n, round(avg(r), 6) + 0.0 AS mean FROM (SELECT unnest(range(250, 2500, 250)) AS p) e JOIN (SELECT r, row_number() OVER (ORDER BY date) - 1 AS pos FROM ret) x ON x.pos BETWEEN e.p - 299 AND e.p GROUP BY ALL""", "ret"),
 )
 def win13(s: X, d: str) -> D:
-    rows = A.ret(s, d).withColumn("pos", (F.row_number().over(w3) - 1).cast("long"))
+    rows = A.ret(s, d).withColumn("pos", (F.row_number().over(w3()) - 1).cast("long"))
     refits = s.range(250, 2500, 250).select(F.col("id").alias("refit"))
     return G.trailing(rows, refits, 300).groupBy(F.col("refit").alias("pos")).agg(F.count(F.lit(1)).alias("n"), q6(F.avg("r")).alias("mean"))
 
 
 @query("win14_expanding", sql(f"SELECT series_id, date, count(r) OVER {V} AS n, round(avg(r) OVER {V}, 6) + 0.0 AS mean FROM rets", "rets"))
 def win14(s: X, d: str) -> D:
-    frame = W.running(w3)
+    frame = W.running(w3())
     return A.rets(s, d).select("series_id", "date", F.count("r").over(frame).alias("n"), q6(F.avg("r").over(frame)).alias("mean"))
 
 
@@ -154,13 +159,13 @@ def states(s: X, d: str) -> D:
     sql(f"SELECT series_id, run, any_value(state) AS state, min(date) AS first, count(*) AS n FROM (SELECT *, sum(c) OVER {V} AS run FROM (SELECT *, CASE WHEN state IS NOT DISTINCT FROM lag(state) OVER {V} THEN 0 ELSE 1 END AS c FROM states)) GROUP BY ALL", "states").replace("sum(c) OVER", "(sum(c) OVER").replace("AS run FROM (SELECT *, CASE", ")::BIGINT AS run FROM (SELECT *, CASE"),
 )
 def win15(s: X, d: str) -> D:
-    rows = states(s, d).withColumn("c", W.run_start(F.col("state"), w3)).withColumn("run", F.sum("c").over(W.running(w3)))
+    rows = states(s, d).withColumn("c", W.run_start(F.col("state"), w3())).withColumn("run", F.sum("c").over(W.running(w3())))
     return rows.groupBy("series_id", "run").agg(F.first("state").alias("state"), F.min("date").alias("first"), F.count(F.lit(1)).alias("n"))
 
 
 @query("win16_switches", sql(f"SELECT series_id, sum(c)::BIGINT AS switches FROM (SELECT series_id, abs(state - lag(state) OVER {V}) AS c FROM states) GROUP BY ALL", "states"))
 def win16(s: X, d: str) -> D:
-    rows = states(s, d).withColumn("c", F.abs(F.col("state") - F.lag("state").over(w3)))
+    rows = states(s, d).withColumn("c", F.abs(F.col("state") - F.lag("state").over(w3())))
     return rows.groupBy("series_id").agg(F.sum("c").alias("switches"))
 
 
@@ -176,7 +181,7 @@ def win17(s: X, d: str) -> D:
 def win18(s: X, d: str) -> D:
     one = Window.partitionBy("series_id")
     rows = A.rets(s, d).where("r is not null").withColumn("e", F.col("r") - F.avg("r").over(one))
-    lags = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), (F.col("e") * F.lag("e", k).over(w3)).alias("xy")) for k in range(1, 6)])
+    lags = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), (F.col("e") * F.lag("e", k).over(w3())).alias("xy")) for k in range(1, 6)])
     rows = rows.withColumn("n", F.count(F.lit(1)).over(one)).withColumn("l", lags).select("series_id", "n", F.explode("l").alias("g"))
     return rows.groupBy("series_id", F.col("g.k").alias("k")).agg(q6(F.sum("g.xy") / F.first("n")).alias("gamma"))
 
@@ -204,7 +209,7 @@ cte(
 
 @query("fea2_realized_vol", sql("SELECT series_id, date, round(CASE WHEN count(r) OVER w = 21 THEN sqrt(252 * avg(r * r) OVER w) END, 6) AS rv FROM rets WINDOW w AS (PARTITION BY series_id ORDER BY date ROWS 20 PRECEDING)", "rets"))
 def fea2(s: X, d: str) -> D:
-    return A.rets(s, d).select("series_id", "date", F.round(W.realized_vol(F.col("r"), w3), 6).alias("rv"))
+    return A.rets(s, d).select("series_id", "date", F.round(W.realized_vol(F.col("r"), w3()), 6).alias("rv"))
 
 
 def _dd(h: int) -> str:
@@ -231,8 +236,8 @@ cte("gate", "SELECT x.date, x.pos, t.refit, CASE WHEN t.refit IS NOT NULL THEN (
 
 def spine(s: X, d: str) -> D:
     rows = A.ret(s, d).where("r is not null").join(A.rf(s, d), "date", "left")
-    rows = rows.withColumn("x", F.col("r") - F.coalesce("rf", F.lit(0.0))).withColumn("rv", W.realized_vol(F.col("r"), w3))
-    return rows.where("rv is not null").withColumn("pos", (F.row_number().over(w3) - 1).cast("long"))
+    rows = rows.withColumn("x", F.col("r") - F.coalesce("rf", F.lit(0.0))).withColumn("rv", W.realized_vol(F.col("r"), w3()))
+    return rows.where("rv is not null").withColumn("pos", (F.row_number().over(w3()) - 1).cast("long"))
 
 
 def gate(s: X, d: str) -> D:
@@ -246,7 +251,7 @@ def det3(s: X, d: str) -> D:
 
 @query("det2_majority", sql("SELECT date, CASE WHEN count(g) OVER w = 20 THEN (avg(g) OVER w > 0.5)::INT::DOUBLE END AS g FROM gate WINDOW w AS (ORDER BY date ROWS 19 PRECEDING)", "gate"))
 def det2(s: X, d: str) -> D:
-    return gate(s, d).select("date", W.majority(F.col("g"), 20, w3).alias("g"))
+    return gate(s, d).select("date", W.majority(F.col("g"), 20, w3()).alias("g"))
 
 
 @query(
@@ -269,13 +274,13 @@ for _name, _kind in (("det4_hmm_gate", "hmm"), ("det7_jump_gate", "jump"), ("det
 
     @query(_name)
     def det(s: X, d: str, kind: str = _kind) -> D:
-        rows = G.detector_inputs(A.ret(s, d), A.rf(s, d)).withColumn("pos", (F.row_number().over(w3) - 1).cast("long"))
+        rows = G.detector_inputs(A.ret(s, d), A.rf(s, d)).withColumn("pos", (F.row_number().over(w3()) - 1).cast("long"))
         return G.gate_path(rows, kind, **REFIT).select("date", "refit", "g", F.round("score", 6).alias("score"))
 
 
 @query("det6_in_sample_states")
 def det6(s: X, d: str) -> D:
-    rows = G.detector_inputs(A.ret(s, d), A.rf(s, d)).withColumn("pos", (F.row_number().over(w3) - 1).cast("long"))
+    rows = G.detector_inputs(A.ret(s, d), A.rf(s, d)).withColumn("pos", (F.row_number().over(w3()) - 1).cast("long"))
     return G.in_sample(rows, ["hmm", "jump"], **REFIT)
 
 
@@ -296,7 +301,7 @@ def det15(s: X, d: str) -> D:
 
 def spine_all(s: X, d: str) -> D:
     rows = A.ret(s, d).where("r is not null").join(A.rf(s, d), "date", "left")
-    return rows.withColumn("x", F.col("r") - F.coalesce("rf", F.lit(0.0))).withColumn("i", F.row_number().over(w3))
+    return rows.withColumn("x", F.col("r") - F.coalesce("rf", F.lit(0.0))).withColumn("i", F.row_number().over(w3()))
 
 
 # Strategies
@@ -610,7 +615,7 @@ def ext_cost(s: X, d: str) -> D:
 
 @query("ext_member_activity", sql("SELECT round(avg(g), 6) AS flat_share, round(sum(abs(g - prev)) / (count(*) / 252.0), 6) AS switches_a_year FROM (SELECT g, lag(g) OVER (ORDER BY date) AS prev FROM gate WHERE g IS NOT NULL)", "gate"))
 def ext_activity(s: X, d: str) -> D:
-    rows = gate(s, d).where("g is not null").withColumn("prev", F.lag("g").over(w3))
+    rows = gate(s, d).where("g is not null").withColumn("prev", F.lag("g").over(w3()))
     return rows.agg(F.round(F.avg("g"), 6).alias("flat_share"), F.round(F.sum(F.abs(F.col("g") - F.col("prev"))) / (F.count(F.lit(1)) / 252.0), 6).alias("switches_a_year"))
 
 
