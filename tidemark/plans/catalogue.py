@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import checks, operations, relational, timeseries
+from tidemark.plans import checks, operations, relational, timeseries, walkforward
 from tidemark.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "checks", "operations", "relational", "timeseries"]
+__all__ = ["QUERIES", "SQL", "checks", "operations", "relational", "timeseries", "walkforward"]

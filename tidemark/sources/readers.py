@@ -98,6 +98,7 @@ def tagged_union(parts: dict[str, DataFrame]) -> DataFrame:
 
 def archive_name(date: Column, switch: str) -> Column:
     """File name of a day's archive; the naming changes at the date ``switch``."""
+    # The two name patterns of the exchange's files.
     old = F.concat(F.lit("fo"), F.upper(F.date_format(date, "ddMMMyyyy")), F.lit("bhav.csv.zip"))
     new = F.concat(F.lit("BhavCopy_NSE_FO_0_0_0_"), F.date_format(date, "yyyyMMdd"), F.lit("_F_0000.csv.zip"))
     return F.when(date < F.lit(switch).cast("date"), old).otherwise(new)
