@@ -141,7 +141,7 @@ PERIODIC = ["ab" * 40, "abc" * 30 + "tail", "z" * 90, "q" + "ab" * 33, "ab" * 12
 
 @pytest.mark.parametrize("most", [2000, 1])
 def test_substring_dedup_by_brute_force(docs, monkeypatch, most):
-    monkeypatch.setattr(suffix_dedup, "MAX_PLACES", most)  # 1: all cores take the path of the hot ones
+    monkeypatch.setattr(suffix_dedup, "MAX_KINDS", most)  # 1: all cores take the path of the hot ones
     texts = random_texts(seed=6, n=40) + PERIODIC
     result = suffix_dedup.substring_dedup(docs(list(enumerate(texts))), window=40)
     check_repeats(result, [(t or "").encode() for t in texts], 40, bytes)

@@ -8,8 +8,8 @@ Shared by the two substring operators. Three narrowing steps, none of which can
 2. *Blocks.* The windows around a repeated anchor are cut into blocks of up to ``group`` starts at
    fixed offsets from the anchor. All windows of a block contain its *core*; equal windows lie in
    blocks with equal cores. Only cores seen twice matter.
-3. *Verdicts.* If all blocks of a core have the same content, all their windows repeat. Otherwise
-   the blocks differ somewhere and the calling operator settles them exactly.
+3. *Verdicts.* A block that equals another block of its core repeats as a whole. Blocks of a core
+   that differ somewhere are settled exactly by the calling operator, one of each content.
 
 Texts are grouped by the first 16 bytes of their SHA-256 (``dg``), so copies are examined once:
 each window of a text that has a copy repeats in that copy.
@@ -241,16 +241,18 @@ def _blocks(shape: Shape, by_print: bool) -> Callable[[pa.RecordBatch], pa.Recor
 
 
 def _judge(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Settled spans and mixed blocks of block rows."""
-    rows = materialize(rows, "blocks")
-    cores = (
-        rows.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("places"), F.min("snip").alias("s0"), F.max("snip").alias("s1"))
-        .where("places > 1")
-        .select("key", (F.col("s0") == F.col("s1")).alias("same"), "places")
-    )
-    judged = materialize(rows.join(cores, "key"), "judged")
-    return judged.where("same").select("dg", "a", "b"), judged.where("not same").drop("same")
+    """Settled spans and mixed blocks of block rows.
+
+    A block that equals another block of its core repeats as a whole. One of each such set, and the
+    blocks that equal no other, are mixed: single windows of them may still repeat.
+    """
+    rows = materialize(rows.withColumn("place", F.xxhash64("dg", "a")), "blocks")
+    snips = rows.groupBy("key", "snip").agg(F.count(F.lit(1)).alias("c"), F.min("place").alias("first_place"))
+    kinds = snips.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("c").alias("places")).where("places > 1")
+    verdict = materialize(snips.join(kinds, "key").select("key", "snip", "c", "first_place", "kinds"), "verdicts")
+    judged = materialize(rows.join(verdict, ["key", "snip"]), "judged")
+    mixed = judged.where("kinds > 1 and (c = 1 or place = first_place)")
+    return judged.where("c > 1").select("dg", "a", "b"), mixed.select("dg", "key", "a", "b", "first", "last", "kinds")
 
 
 def refine(cands: DataFrame, mixed: DataFrame, shape: Shape) -> tuple[DataFrame, DataFrame]:
@@ -263,8 +265,8 @@ def refine(cands: DataFrame, mixed: DataFrame, shape: Shape) -> tuple[DataFrame,
 def blocks(cands: DataFrame, shape: Shape) -> tuple[DataFrame, DataFrame]:
     """Scratch tables of blocks whose core repeats: settled spans ``(dg, a, b)``, and mixed blocks.
 
-    Mixed blocks are ``(dg, key, snip, a, b, first, last, places)``; first and last are the window
-    starts that the block's anchor stands for, places the number of blocks with that core.
+    Mixed blocks are ``(dg, key, a, b, first, last, kinds)``; first and last are the window
+    starts that the block's anchor stands for, kinds the number of contents with that core.
     """
     return _judge(map_arrow(cands, _blocks(shape, by_print=True), _BLOCK_ROWS))
 

@@ -2,8 +2,8 @@
 
 ``repeats`` narrows all texts down to blocks that share a core of some 270 bytes but differ
 elsewhere. The segments of a core go to one task, where a run-length index over them marks every
-match of the full length. Cores at more places than ``MAX_PLACES`` could not be held by one task:
-their blocks are cut finer and judged again, and the windows of blocks that are still mixed are
+match of the full length. A core with more than ``MAX_KINDS`` contents could not be held by one task:
+its blocks are cut finer and judged again, and the windows of blocks that are still mixed are
 compared by hash, which is exact at any size.
 """
 
@@ -20,7 +20,7 @@ from tidemark.llm.common import map_arrow, materialize, utf8
 from tidemark.llm.repeats import Shape, as_run, blocks, candidates, exact_windows, profile, refine, repeated, settle
 from tidemark.llm.rindex import GROUPS, RunLengthIndex
 
-MAX_PLACES = 2000
+MAX_KINDS = 2000
 #: Segment bytes that one task takes, on average, and that one index is built over.
 BUCKET_BYTES = 4 << 20
 INDEX_BYTES = 1 << 20
@@ -113,9 +113,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = materialize(repeated(as_run(profiles)), "prints")
     cands = candidates(docs, profiles, prints, id_col, text_col)
     same, mixed = blocks(cands, shape)
-    same_fine, mixed_fine = refine(cands, mixed.where(F.col("places") > MAX_PLACES), replace(shape, group=max(1, shape.group // 8)))
+    same_fine, mixed_fine = refine(cands, mixed.where(F.col("kinds") > MAX_KINDS), replace(shape, group=max(1, shape.group // 8)))
     wide = same_fine.union(exact_windows(cands, mixed_fine, shape))
-    segments = materialize(_segments(cands, mixed.where(F.col("places") <= MAX_PLACES)), "segments")
+    segments = materialize(_segments(cands, mixed.where(F.col("kinds") <= MAX_KINDS)), "segments")
     total = segments.agg(F.sum(F.length("segment"))).first()[0] or 0
     buckets = max(1, int(total // BUCKET_BYTES))
     bucketed = segments.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
