@@ -86,6 +86,32 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.withColumn("score", F.round("score", 6))
 
 
+#: Positions are cut to pieces of 256 first, as taking a substring costs its distance from the start.
+SQL_OP2 = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, hex(encode(coalesce(text, ''))) AS x FROM documents),
+     c AS (SELECT rid, base, substr(x, 2 * base + 1, 1310) AS y FROM (SELECT rid, x, unnest(range(0, (len(x) // 2 - 399)::BIGINT, 256)) AS base FROM d WHERE len(x) >= 800)),
+     h AS (SELECT rid, base + j AS i, md5(substr(y, 2 * j + 1, 800)) AS s FROM (SELECT rid, base, y, unnest(range(0, least(256, (len(y) // 2 - 399)::BIGINT))) AS j FROM c)),
+     r AS (SELECT rid, i FROM h WHERE s IN (SELECT s FROM h GROUP BY s HAVING count(*) > 1)),
+     e AS (SELECT rid, i, coalesce(i > lag(i) OVER o + 400, true) AS new FROM r WINDOW o AS (PARTITION BY rid ORDER BY i)),
+     g AS (SELECT rid, i, sum(new::INT) OVER (PARTITION BY rid ORDER BY i) AS k FROM e),
+     spans AS (SELECT rid, k, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY rid, k),
+     cuts AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS prev FROM spans),
+     kept AS (SELECT rid, string_agg(substr(x, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS t, sum(b - a) AS n, count(*) AS c FROM cuts JOIN d USING (rid) GROUP BY rid)
+SELECT d.doc_id, (len(d.x) // 2)::BIGINT AS n_bytes, coalesce(kept.n, 0)::BIGINT AS n_removed, coalesce(kept.c, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept.t, d.x))) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)
+"""
+
+SQL_OP4 = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     h AS (SELECT rid, i, md5(array_to_string(w[i:i + 34], ' ')) AS s FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+     gone AS (SELECT DISTINCT rid, unnest(range(i, i + 35)) AS k FROM h WHERE s IN (SELECT s FROM h GROUP BY s HAVING count(*) > 1)),
+     words AS (SELECT rid, unnest(w) AS x, generate_subscripts(w, 1) AS k FROM d),
+     kept AS (SELECT rid, string_agg(x, ' ' ORDER BY k) AS t FROM words ANTI JOIN gone USING (rid, k) GROUP BY rid),
+     lost AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(lost.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN lost USING (rid) LEFT JOIN kept USING (rid)
+"""
+
 #: Base32 of a SHA-1 in hex: every five hex digits are four characters.
 _BASE32 = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, {1 + 5 * i}, 5))::BIGINT >> {s}) & 31) + 1)::BIGINT, 1)"
@@ -126,4 +152,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": SQL_OP6, "op7_mixing": SQL_OP7, "op9_exact_dedup": SQL_OP9}
+    return {"op2_suffix_dedup": SQL_OP2, "op4_substring_dedup": SQL_OP4, "op6_warc": SQL_OP6, "op7_mixing": SQL_OP7, "op9_exact_dedup": SQL_OP9}
