@@ -9,6 +9,7 @@ two tables and decompresses only the frames of those documents.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -35,7 +36,7 @@ CHECKSUM_FLAG = 0x80
 #: Ids in a frame, unless one document has more.
 FRAME_IDS = 1 << 18
 #: Chunks of text whose ids a worker keeps; beyond that it starts again.
-CACHE_CHUNKS = 1_500_000
+CACHE_CHUNKS = 1_100_000
 DOC = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("start", "<u8"), ("n", "<u8"), ("frame", "<u4"), ("at", "<u8")])
 
 
@@ -43,6 +44,17 @@ DOC = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("start", "<u8"), ("n", "<u8"
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+
+def _byte_characters() -> dict[int, str]:
+    """Byte-level BPE's printable character for each byte: itself if printable, else the next one above 255."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + k) for k, b in enumerate(other)}
+
+
+BYTE_CHARACTERS = _byte_characters()
+
+
 class Encoder:
     """Ids of texts, with those of pieces between spaces kept.
 
@@ -53,9 +65,11 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self._clear()
 
     def _clear(self) -> None:
@@ -64,7 +78,7 @@ class Encoder:
         self.flat = np.zeros(0, dtype=np.uint32)
         self.used = self.count = 0
         # a piece's ids are two stretches of flat: of its word, and of the marks after it
-        self.start, self.size = np.zeros((2, 0, 2), dtype=np.int64)
+        self.start, self.size = np.zeros((2, 0, 2), dtype=np.int32)
         self.whole = np.zeros(0, dtype=bool)
 
     @staticmethod
@@ -85,9 +99,15 @@ class Encoder:
         self.count = n
 
     def _encode(self, known: dict[str, int], lead: str, pieces: list[str]) -> None:
+        """Ids of pieces: a word alone is one pre-token, so the model takes it directly, in its byte characters."""
         if not pieces:
             return
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast([lead + p for p in pieces], add_special_tokens=False)]
+        other = [p for p in pieces if not p.isalpha()]
+        found = iter(self.tokenizer.encode_batch_fast([lead + p for p in other], add_special_tokens=False))
+        split = self.model.tokenize
+        ids = [
+            [x.id for x in split((lead + p).encode().decode("latin-1").translate(BYTE_CHARACTERS))] if p.isalpha() else next(found).ids for p in pieces
+        ]
         size = np.zeros((len(pieces), 2), dtype=np.int64)
         size[:, 0] = list(map(len, ids))
         end = self.used + np.cumsum(size[:, 0])
@@ -141,7 +161,7 @@ class Encoder:
                 out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32))
             else:
                 size = self.size[codes].ravel()
-                end = np.cumsum(size)
+                end = np.cumsum(size, dtype=np.int64)
                 at = np.repeat(self.start[codes].ravel() - (end - size), size) + np.arange(end[-1])
                 out.append(self.flat[at])
         return out
