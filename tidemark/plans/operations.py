@@ -153,7 +153,7 @@ def liv5(s: X, d: str) -> D:
     return table(s, d, "part").groupBy("p_brand").agg(F.min_by("p_size", F.struct(F.abs(F.col("p_size") - 20), F.col("p_size"))).alias("strike"))
 
 
-@query("liv6_leg_prices")
+@query("liv6_leg_prices", "SELECT l_suppkey::VARCHAR AS symbol, 'SELL' AS side, 100 AS quantity, round(floor(min(l_extendedprice) * 0.99 / 0.05 + 1e-9) * 0.05, 10) AS price FROM lineitem WHERE l_linenumber <= 2 GROUP BY l_suppkey")
 def liv6(s: X, d: str) -> D:
     rows = flatten_quotes(quotes(s, d)).withColumn("symbol", F.col("symbol_key").cast("string")).withColumn("lot_size", F.lit(50))
     return straddle_legs(rows, "SELL", 0.05, 2)

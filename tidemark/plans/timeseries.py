@@ -406,12 +406,12 @@ def str6(s: X, d: str) -> D:
     return T.clip(A.forward(s, d), "1996-01-01", "1998-12-31").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first"), F.max("date").alias("last"))
 
 
-@query("str8_reconcile")
+@query("str8_reconcile", sql("SELECT p.cycle, round(p.premium - sum(x.close), 6) + 0.0 AS diff FROM plan_cycles p JOIN panel x ON x.date = p.entry AND x.strike = p.strike WHERE status = 'ok' GROUP BY p.cycle, p.premium", "plan_cycles", "panel"))
 def str8(s: X, d: str) -> D:
     """Premium and payoff of each traded cycle by hand from raw rows, beside the plan's; diff is zero."""
     plan = T.plan_cycles(A.panel(s, d), A.forward(s, d), max_gap=0.25).where("status = 'ok'")
     raw = A.panel(s, d).select(F.col("date").alias("entry"), "strike", "close").groupBy("entry", "strike").agg(F.sum("close").alias("by_hand"))
-    return plan.join(raw, ["entry", "strike"]).select("cycle", F.round(F.col("premium") - F.col("by_hand"), 6).alias("diff"))
+    return plan.join(raw, ["entry", "strike"]).select("cycle", q6(F.col("premium") - F.col("by_hand")).alias("diff"))
 
 
 @query("fin3_cash_return", sql("SELECT date, round(rf, 9) + 0.0 AS rf FROM rf", "rf"))
@@ -470,16 +470,34 @@ def met5(s: X, d: str) -> D:
     return out.select("series_id", "n", *[q6(c).alias(c) for c in ("sharpe", "mppm", "ann_return", "ann_vol", "max_drawdown", "cvar95")], F.round("skew", 5).alias("skew"))
 
 
-@query("met6_detection", None)
+_DETECTION = """, l AS (SELECT g.date, g.g, (x.rv > quantile_cont(x.rv, 0.7) OVER ())::INT AS truth FROM gate g JOIN spine x USING (date) WHERE g.g IS NOT NULL),
+ p AS (SELECT *, lag(g) OVER o AS pg, lag(truth) OVER o AS pt, row_number() OVER o AS pos FROM l WINDOW o AS (ORDER BY date)),
+ e AS (SELECT *, sum((truth = 1 AND pt = 0)::INT) OVER (ORDER BY date) AS ep FROM p),
+ per AS (SELECT min(CASE WHEN g = 1 THEN pos END) - min(pos) AS delay FROM e WHERE truth = 1 AND ep > 0 GROUP BY ep)
+ SELECT 'ALL' AS series_id, round(avg(g), 6) AS flat_share, round(sum(abs(g - pg)) / (count(*) / 252.0), 6) AS switches_a_year,
+  round(sum((g = 1 AND pg = 0 AND truth = 0)::INT) / (sum((truth = 0)::INT) / 252.0), 6) AS false_alarms_a_year, (SELECT count(*) FROM per) AS episodes,
+  (SELECT round(avg((delay IS NULL)::INT), 6) FROM per) AS miss_rate, (SELECT quantile_cont(delay, 0.5) FROM per) AS median_delay FROM e"""
+
+
+@query("met6_detection", sql("", "gate").rstrip() + _DETECTION)
 def met6(s: X, d: str) -> D:
     rows = gate(s, d).where("g is not null")
     truth = (F.col("rv") > F.percentile("rv", 0.7).over(Window.partitionBy(F.lit(1)))).cast("int")
     return I.detection_stats(rows.withColumn("truth", truth).withColumn("series_id", F.lit("ALL")), ["series_id"])
 
 
-@query("met7_refit_stability", None)
+_STABILITY = """, ws AS (SELECT f.refit, x.pos, (x.rv > quantile_cont(x.rv, 0.8) OVER (PARTITION BY f.refit))::INT AS s FROM refits f JOIN spine x ON x.pos BETWEEN f.refit - 399 AND f.refit),
+ m AS (SELECT refit, lead(refit) OVER (ORDER BY refit) AS next FROM (SELECT DISTINCT refit FROM ws)),
+ c AS (SELECT m.refit, a.s AS a, b.s AS b, count(*)::DOUBLE AS n FROM m JOIN ws a ON a.refit = m.refit JOIN ws b ON b.refit = m.next AND b.pos = a.pos GROUP BY ALL),
+ k AS (SELECT refit, sum(n) AS o, coalesce(sum(n) FILTER (a <> b), 0) AS f, sum(n * (n - 1) / 2) AS same, coalesce(sum(n) FILTER (a = 0), 0) AS a0, coalesce(sum(n) FILTER (a = 1), 0) AS a1,
+   coalesce(sum(n) FILTER (b = 0), 0) AS b0, coalesce(sum(n) FILTER (b = 1), 0) AS b1 FROM c GROUP BY refit),
+ q AS (SELECT *, (a0 * (a0 - 1) + a1 * (a1 - 1)) / 2 AS ra, (b0 * (b0 - 1) + b1 * (b1 - 1)) / 2 AS rb, o * (o - 1) / 2 AS ro FROM k)
+ SELECT refit, o::BIGINT AS overlap, round(f / o, 6) AS flip_rate, round(coalesce((same - ra * rb / ro) / nullif((ra + rb) / 2 - ra * rb / ro, 0), 1), 6) AS ari FROM q"""
+
+
+@query("met7_refit_stability", sql("", "refits").rstrip() + _STABILITY)
 def met7(s: X, d: str) -> D:
-    return I.refit_stability(G.window_states(spine(s, d), "rv", 0.8, **REFIT)).withColumn("ari", F.round("ari", 6))
+    return I.refit_stability(G.window_states(spine(s, d), "rv", 0.8, **REFIT)).withColumns({c: F.round(c, 6) for c in ("flip_rate", "ari")})
 
 
 @query("inf1_circular_blocks", "SELECT b.b AS block, k.k AS k, (b.b * 7919 + k.k) % 1000 AS pos FROM range(50) b(b), range(20) k(k)")
