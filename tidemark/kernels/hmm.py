@@ -30,63 +30,47 @@ class Hmm:
         return -0.5 * (np.log(2 * np.pi * self.var) + (y[:, None] - self.mean) ** 2 / self.var)
 
 
-def _scaled_density(model: Hmm, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    logs = model.log_density(y)
-    top = logs.max(axis=1)
-    return np.exp(logs - top[:, None]), top
-
-
-def _em(y: np.ndarray, model: Hmm, max_iter: int, tol: float) -> Hmm:
-    n, k = len(y), len(model.mean)
-    before = -np.inf
+def fit_hmm(r: np.ndarray, states: int = 2, seeds: int = 10, max_iter: int = 1000, tol: float = 1e-6) -> Hmm:
+    """The best of several seeded Baum-Welch fits, which go on side by side until none gains ``tol``."""
+    y = 100.0 * np.asarray(r, dtype=float)
+    n, spread = len(y), max(float(np.var(y)), FLOOR)
+    mean, var = np.empty((seeds, states)), np.empty((seeds, states))
+    for seed in range(seeds):
+        draw = np.random.default_rng(seed)
+        mean[seed] = 0.2 * (draw.choice(y, states) if n >= states else np.zeros(states))
+        var[seed] = spread * np.exp(draw.uniform(-1.5, 1.5, states))
+    start = np.full((seeds, states), 1 / states)
+    trans = np.full((seeds, states, states), 0.1 / max(1, states - 1))
+    trans[:, np.arange(states), np.arange(states)] = 0.9
+    before = np.full(seeds, -np.inf)
+    alpha, beta, scale = np.empty((n, seeds, states)), np.ones((n, seeds, states)), np.empty((n, seeds))
     for _ in range(max_iter):
-        dens, top = _scaled_density(model, y)
-        alpha, scale = np.empty((n, k)), np.empty(n)
-        a = model.start * dens[0]
+        logs = -0.5 * (np.log(2 * np.pi * var) + (y[:, None, None] - mean) ** 2 / var)
+        top = logs.max(axis=2)
+        dens = np.exp(logs - top[:, :, None])
+        a = start * dens[0]
         for t in range(n):
             if t:
-                a = (alpha[t - 1] @ model.trans) * dens[t]
-            scale[t] = a.sum() or 1e-300
-            alpha[t] = a / scale[t]
-        beta = np.ones((n, k))
+                a = np.matmul(alpha[t - 1][:, None, :], trans)[:, 0, :] * dens[t]
+            scale[t] = np.maximum(a.sum(axis=1), 1e-300)
+            alpha[t] = a / scale[t][:, None]
+        ahead = dens / scale[:, :, None]
         for t in range(n - 2, -1, -1):
-            beta[t] = model.trans @ (dens[t + 1] * beta[t + 1]) / scale[t + 1]
+            beta[t] = np.matmul(trans, (ahead[t + 1] * beta[t + 1])[:, :, None])[:, :, 0]
         gamma = alpha * beta
-        gamma /= gamma.sum(axis=1, keepdims=True)
-        pairs = model.trans * (alpha[:-1].T @ (dens[1:] * beta[1:] / scale[1:, None]))
+        gamma /= gamma.sum(axis=2, keepdims=True)
+        pairs = trans * np.einsum("tsi,tsj->sij", alpha[:-1], ahead[1:] * beta[1:]) + 1e-12
         weight = gamma.sum(axis=0) + 1e-12
-        mean = gamma.T @ y / weight
-        var = (gamma * (y[:, None] - mean) ** 2).sum(axis=0) / weight
-        now = float(np.log(scale).sum() + top.sum())
-        model = Hmm(
-            (gamma[0] + 1e-12) / (gamma[0] + 1e-12).sum(),
-            (pairs + 1e-12) / (pairs + 1e-12).sum(axis=1, keepdims=True),
-            mean,
-            np.maximum(var, FLOOR),
-            now,
-        )
-        if now - before < tol:
+        now = np.log(scale).sum(axis=0) + top.sum(axis=0)
+        start = (gamma[0] + 1e-12) / (gamma[0] + 1e-12).sum(axis=1, keepdims=True)
+        trans = pairs / pairs.sum(axis=2, keepdims=True)
+        mean = np.einsum("tsk,t->sk", gamma, y) / weight
+        var = np.maximum(np.einsum("tsk,tsk->sk", gamma, (y[:, None, None] - mean) ** 2) / weight, FLOOR)
+        if (now - before < tol).all():
             break
         before = now
-    return model
-
-
-def fit_hmm(r: np.ndarray, states: int = 2, seeds: int = 10, max_iter: int = 1000, tol: float = 1e-6) -> Hmm:
-    """The best of several seeded Baum-Welch fits."""
-    y = 100.0 * np.asarray(r, dtype=float)
-    best = None
-    for seed in range(seeds):
-        draw = np.random.default_rng(seed)
-        spread = max(float(y.var()), FLOOR)
-        mean = draw.choice(y, states) if len(y) >= states else np.zeros(states)
-        var = spread * np.exp(draw.uniform(-1.5, 1.5, states))
-        stay = 0.9
-        trans = np.full((states, states), (1 - stay) / max(1, states - 1))
-        np.fill_diagonal(trans, stay)
-        found = _em(y, Hmm(np.full(states, 1 / states), trans, 0.2 * mean, var), max_iter, tol)
-        if best is None or found.log_likelihood > best.log_likelihood:
-            best = found
-    return best
+    k = int(np.argmax(now))
+    return Hmm(start[k], trans[k], mean[k], var[k], float(now[k]))
 
 
 def filter_prob(model: Hmm, r: np.ndarray, alpha: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -138,6 +138,11 @@ def _rv(fit: pd.DataFrame, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 DETECTORS: dict[str, Callable] = {"hmm": _hmm, "jump": _jump, "bocpd": _bocpd, "rv": _rv}
 
 
+def _fan_out(tasks: DataFrame, *keys: str) -> DataFrame:
+    """Partition by task with a number that adaptive execution keeps: the rows are few but each group is long work."""
+    return tasks.repartition(max(8, 2 * tasks.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def gate_path(rows: DataFrame, kind: str, first: int, step: int, window: int, min_history: int) -> DataFrame:
     """``(date, pos, refit, g, score)`` of a detector refitted at each refit position.
 
@@ -159,7 +164,7 @@ def gate_path(rows: DataFrame, kind: str, first: int, step: int, window: int, mi
         out = pdf.assign(g=g, score=score)
         return out.loc[out["pos"] >= refit, ["date", "pos", "refit", "g", "score"]]
 
-    tasks = trailing(rows, _refits(rows, first, step), window, ahead="next")
+    tasks = _fan_out(trailing(rows, _refits(rows, first, step), window, ahead="next"), "refit")
     return tasks.groupBy("refit").applyInPandas(run, "date date, pos long, refit long, g double, score double")
 
 
@@ -180,7 +185,7 @@ def in_sample(rows: DataFrame, kinds: list[str], first: int, step: int, window:
         return pd.DataFrame({"kind": kind, "refit": pdf["refit"], "pos": pdf["pos"], "state": state})
 
     tasks = trailing(rows, _refits(rows, first, step), window).withColumn("kind", F.explode(F.array(*map(F.lit, kinds))))
-    return tasks.groupBy("kind", "refit").applyInPandas(run, "kind string, refit long, pos long, state double")
+    return _fan_out(tasks, "kind", "refit").groupBy("kind", "refit").applyInPandas(run, "kind string, refit long, pos long, state double")
 
 
 def window_states(rows: DataFrame, column: str, q: float, first: int, step: int, window: int, min_history: int) -> DataFrame:
