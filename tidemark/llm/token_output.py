@@ -181,7 +181,7 @@ class ShardWriter:
 
     def __init__(self, uri: str):
         self.out = files.create(uri)
-        self.packer = zstandard.ZstdCompressor(level=3, write_checksum=True, write_content_size=True)
+        self.packer = zstandard.ZstdCompressor(level=1, write_checksum=True, write_content_size=True)
         self.docs: list[tuple] = []
         self.frames: list[tuple[int, int, int]] = []
         self.open: list[np.ndarray] = []
