@@ -1,15 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: Smith-Waterman alignment of every item with the words of every document.
 
-Seeds are word n-grams of the test items that the corpus would hardly hold by chance, judged by
-the corpus frequencies of their words (so a leaked passage cannot make its own seeds common). Where a
-document has a seed, the item is aligned with the words around it; local alignment tolerates
-replaced, dropped and added words.
+No seed is needed: a sum over the words that an item has at all bounds the score of any alignment from above,
+whatever the corpus' size. Where it reaches the threshold, the item is scored with the words around; local alignment
+tolerates replaced, dropped and added words.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +17,12 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import map_arrow
 
 WORD = re.compile(r"[^\W_]+")
-#: Words in a seed; chance occurrences in the corpus up to which a seed is rare; least share of
-#: an item's seeds that is used in any case (its rarest).
-SEED_WORDS, CHANCE, LEAST_SHARE = 5, 1e-3, 0.25
 #: Alignment scores, and the share of the perfect score from which a document is contaminated.
 MATCH, MISMATCH, GAP, THRESHOLD = 2, -1, -1, 0.5
 #: Characters of test items that are matched at once; larger benchmarks run in blocks.
 BLOCK_CHARS = 16 << 20
+#: Words of regions that are scored at once.
+CELLS = 1 << 18
 
 
 def words_of(text: str | None) -> list[str]:
@@ -61,7 +58,7 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
 
 
 class Items:
-    """A block of test items, their seeds and word numbers; shipped to the tasks."""
+    """A block of test items, their word numbers and the items of each word; shipped to the tasks."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids = [i for i, _ in items]
@@ -69,91 +66,85 @@ class Items:
         self.vocab: dict[str, int] = {}
         self.words = [np.array([self.vocab.setdefault(w, len(self.vocab)) for w in own], dtype=np.int64) for own in words]
 
-    def set_seeds(self, counts: np.ndarray, total: float) -> None:
-        """Choose seeds by the chance count of their words; fewer than SEED_WORDS words: all of them."""
-        self.postings: dict[tuple, list[tuple[int, int]]] = {}
-        share = np.log(np.maximum(counts, 1) / max(total, 1))
-        for item, own in enumerate(self.words):
-            if not len(own):
-                continue
-            n = min(SEED_WORDS, len(own))
-            chance = np.convolve(share[own], np.ones(n), "valid") + np.log(max(total, 1))
-            rarest = np.argsort(chance, kind="stable")[: max(1, int(np.ceil(len(chance) * LEAST_SHARE)))]
-            for k in set(np.flatnonzero(chance <= np.log(CHANCE)).tolist()) | set(rarest.tolist()):
-                self.postings.setdefault(tuple(own[k : k + n].tolist()), []).append((item, k))
-        self.sizes = sorted({len(s) for s in self.postings})
-        self.starts = {n: np.array(sorted({self.mix(np.array(s))[0] for s in self.postings if len(s) == n}), dtype=np.uint64) for n in self.sizes}
+    def index(self) -> None:
+        """Items of each word."""
+        pairs = sorted({(w, i) for i, own in enumerate(self.words) for w in own.tolist()})
+        self.holders = np.array([i for _, i in pairs], dtype=np.int64)
+        self.first = np.searchsorted(np.array([w for w, _ in pairs], dtype=np.int64), np.arange(len(self.vocab) + 1))
+        self.lengths = np.array([len(own) for own in self.words], dtype=np.int64)
         self.known: dict[tuple, tuple[int, int, int]] = {}
 
-    @staticmethod
-    def mix(numbers: np.ndarray, n: int | None = None) -> np.ndarray:
-        """Hashes of all n consecutive numbers."""
-        n = n or len(numbers)
-        out = np.zeros(max(0, len(numbers) - n + 1), dtype=np.uint64)
-        for j in range(n):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + numbers[j : j + len(out)].astype(np.uint64) + np.uint64(7)
+    def regions(self, numbers: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, from, to) of the parts that hold all alignments of THRESHOLD or more.
+
+        A word of the document adds MATCH at most if the item has it, else it costs a mismatch or a gap. So an
+        alignment ends on a word up to which some run of words sums to the threshold, and is not longer than
+        the words that a perfect score can pay for.
+        """
+        at = np.flatnonzero(numbers >= 0)
+        low = self.first[numbers[at]]
+        count = self.first[numbers[at] + 1] - low
+        place = np.repeat(at, count)
+        item = self.holders[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+        order = np.argsort(item.astype(np.uint16) if len(self.ids) < 1 << 16 else item, kind="stable")  # short keys sort faster
+        item, place = item[order], place[order]
+        cost = -max(MISMATCH, GAP)
+        # sums from word to word; items lie so far apart that no run crosses them
+        apart = place * cost + item * ((MATCH + cost) * (len(place) + 1) + cost * len(numbers))
+        before = (MATCH + cost) * np.arange(len(place)) - apart
+        sums = before + MATCH - np.minimum.accumulate(before)
+        need = np.ceil(THRESHOLD * MATCH * self.lengths).astype(np.int64)
+        hit = np.flatnonzero(sums >= need[item])
+        out: list[tuple[int, int, int]] = []
+        for i, p in zip(item[hit].tolist(), place[hit].tolist()):
+            m = int(self.lengths[i])
+            a = max(0, p - m - (MATCH * m - int(need[i])) // cost)
+            if out and out[-1][0] == i and a <= out[-1][2]:
+                out[-1] = (i, out[-1][1], p + 1)
+            else:
+                out.append((i, a, p + 1))
         return out
 
+    def holds(self, numbers: np.ndarray, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """The regions whose best alignment reaches the threshold; scores of many regions at once."""
+        out, k = [], 0
+        found = sorted(found, key=lambda x: x[2] - x[1])
+        while k < len(found):
+            part = found[k : k + max(1, CELLS // (found[min(k + 63, len(found) - 1)][2] - found[min(k + 63, len(found) - 1)][1]))][:64]
+            k += len(part)
+            n, m = part[-1][2] - part[-1][1], max(len(self.words[i]) for i, _, _ in part)
+            text = np.full((len(part), n), -2, dtype=np.int32)
+            item = np.full((len(part), m), -3, dtype=np.int32)
+            for c, (i, a, b) in enumerate(part):
+                text[c, : b - a] = numbers[a:b]
+                item[c, : len(self.words[i])] = self.words[i]
+            ramp = np.arange(n + 1, dtype=np.int32) * np.int32(-GAP)
+            row, best = np.zeros((len(part), n + 1), dtype=np.int32), np.zeros(len(part), dtype=np.int32)
+            for w in range(m):
+                new = np.maximum(row + np.int32(GAP), 0)
+                np.maximum(new[:, 1:], row[:, :-1] + np.where(text == item[:, w, None], np.int32(MATCH), np.int32(MISMATCH)), out=new[:, 1:])
+                row = np.maximum.accumulate(new + ramp, axis=1) - ramp
+                np.maximum(best, row.max(axis=1), out=best)
+            out += [x for x, score in zip(part, best.tolist()) if score >= THRESHOLD * MATCH * len(self.words[x[0]])]
+        return sorted(out)
+
     def scan(self, text: str | None) -> list[tuple[int, float, int, int]]:
         """(item id, score, first word, end word) of the items that the text holds."""
         words = words_of(text)
         get = self.vocab.get
         numbers = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
-        places: dict[int, list[int]] = {}
-        for n in self.sizes:
-            if len(words) < n:
-                continue
-            found = self.mix(numbers, n)
-            at = np.searchsorted(self.starts[n], found)
-            hit = np.flatnonzero(self.starts[n][np.minimum(at, len(self.starts[n]) - 1)] == found)
-            for p in hit.tolist():
-                for item, k in self.postings.get(tuple(numbers[p : p + n].tolist()), ()):
-                    places.setdefault(item, []).append(p - k)
-        out = []
-        for item, starts in places.items():
-            own = self.words[item]
-            m, best = len(own), None
-            slack = m // 2 + 2
-            starts.sort()
-            a = 0
-            for i in range(1, len(starts) + 1):  # one alignment per cluster of seeds
-                if i == len(starts) or starts[i] - starts[i - 1] > m:
-                    low, high = max(0, starts[a] - slack), min(len(words), starts[i - 1] + m + slack)
-                    part = numbers[low:high]
-                    key = (item, part.tobytes())
-                    if key not in self.known:
-                        if len(self.known) > 100_000:
-                            self.known.clear()
-                        self.known[key] = align(own, part)
-                    score, s, e = self.known[key]
-                    if best is None or score > best[0]:
-                        best = (score, low + s, low + e)
-                    a = i
-            if best[0] >= THRESHOLD * MATCH * m:
-                out.append((self.ids[item], best[0] / (MATCH * m), best[1], best[2]))
-        return out
-
-
-def _word_counts(docs: DataFrame, items: Items) -> tuple[np.ndarray, float]:
-    """Corpus counts of the items' words, and of all words; over all documents."""
-    vocab = items.vocab
-
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found: Counter = Counter()
-        for text in batch.column(0).to_pylist():
-            found.update(map(vocab.get, words_of(text)))
-        total = sum(found.values())
-        found.pop(None, None)
-        return pa.RecordBatch.from_arrays([pa.array([-1, *found], pa.int64()), pa.array([total, *found.values()], pa.int64())], names=["w", "n"])
-
-    rows = map_arrow(docs.select("text"), count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
-    counts, total = np.zeros(len(vocab)), 0.0
-    for r in rows:  # at most one row a word of the block's items
-        if r.w < 0:
-            total = float(r.n)
-        else:
-            counts[r.w] = r.n
-    return counts, total
+        best: dict[int, tuple[int, int, int]] = {}
+        for item, a, b in self.holds(numbers, self.regions(numbers)):
+            part = numbers[a:b]
+            key = (item, part.tobytes())
+            if key not in self.known:
+                if len(self.known) > 100_000:
+                    self.known.clear()
+                self.known[key] = align(self.words[item], part)
+            score, s, e = self.known[key]
+            if item not in best or score > best[item][0]:
+                best[item] = (score, a + s, a + e)
+        return [(self.ids[i], score / (MATCH * len(self.words[i])), s, e) for i, (score, s, e) in best.items()]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,7 +166,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     for b in range(n_blocks):
         block = items.where(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == b)
         own = Items([(r.item_id, r.text) for r in block.collect()])
-        own.set_seeds(*_word_counts(docs, own))
+        own.index()
 
         def run(batch: pa.RecordBatch, own: Items = own) -> pa.RecordBatch:
             rows = [(d, *x) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in own.scan(t)]
