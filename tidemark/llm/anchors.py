@@ -23,7 +23,7 @@ def _mixed(values: np.ndarray) -> np.ndarray:
 
 
 def rolling(values: np.ndarray, k: int) -> np.ndarray:
-    """Mixed 32-bit hash of every k consecutive uint32 values, by doubling."""
+    """Mixed 32-bit hash, never 0 (see select), of every k consecutive uint32 values, by doubling."""
     total, done, power = None, 0, 1
     block, size = values, 1
     mod = 1 << 32
@@ -41,7 +41,7 @@ def rolling(values: np.ndarray, k: int) -> np.ndarray:
         power = pow(_MULTIPLIER, size, mod)
         block = block[:-size] * np.uint32(power) + block[size:]
         size *= 2
-    return _mixed(total)
+    return np.maximum(_mixed(total), np.uint32(1))
 
 
 def sliding(values: np.ndarray, width: int, best) -> np.ndarray:
