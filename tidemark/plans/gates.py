@@ -239,16 +239,16 @@ def generate(spark: SparkSession, kinds: list[str], seeds: int, n: int) -> DataF
 
 
 def fit_dgps(returns: DataFrame, keys: list[str]) -> DataFrame:
-    """Per series: two-state HMM (calm first), mean durations, and GARCH-t parameters."""
+    """Per series: two-state HMM (calm first), mean durations, and GARCH-t parameters, of all its returns."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.sort_values("date")["r"].to_numpy()[-1500:]
-        model = hmm.fit_hmm(r, states=2, seeds=2, max_iter=100, tol=1e-3)
+        r = pdf.sort_values("date")["r"].to_numpy()
+        model = hmm.fit_hmm(r, states=2)
         order = np.argsort(model.var)
         stay = np.diag(model.trans)[order]
         found = {f"sd{k}": float(np.sqrt(model.var[order][k]) / 100) for k in range(2)}
         found |= {f"duration{k}": float(1 / max(1 - stay[k], 1e-6)) for k in range(2)}
-        found |= paths.fit_garch(r[-600:])
+        found |= paths.fit_garch(r)
         return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, **{k: round(float(v), 6) for k, v in found.items()}}])
 
     schema = ", ".join([f"{k} string" for k in keys] + [f"{c} double" for c in ("sd0", "sd1", "duration0", "duration1", "mu", "omega", "alpha", "beta", "df")])
