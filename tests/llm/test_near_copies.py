@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tidemark.llm import minhash
+from tidemark.llm import minhash, simhash
 
 from .conftest import random_texts
 
@@ -43,11 +43,11 @@ def test_near_copies_by_brute_force(docs, monkeypatch, bands):
     monkeypatch.setattr(minhash, "PIECE", 7 if bands == 1 else 512)
     want = {i for i, r in enumerate(brute_near(texts, 0.8)) if i == r}
     assert len(want) < len(texts) - 40
-    got = minhash.near_dedup(docs(list(enumerate(texts)))).collect()
+    got = simhash.near_dedup(docs(list(enumerate(texts)))).collect()
     assert {r.doc_id for r in got} == want
 
 
 def test_near_copies_of_odd_rows(docs):
-    assert minhash.near_dedup(docs([])).collect() == []
-    kept = minhash.near_dedup(docs([(1, "a b c d e"), (2, "A b  c d e"), (None, "a b c d e"), (3, None), (4, " "), (1, "a b c d e")])).select("doc_id", "n").collect()
+    assert simhash.near_dedup(docs([])).collect() == []
+    kept = simhash.near_dedup(docs([(1, "a b c d e"), (2, "A b  c d e"), (None, "a b c d e"), (3, None), (4, " "), (1, "a b c d e")])).select("doc_id", "n").collect()
     assert sorted((r.doc_id for r in kept), key=str) == [1, 1, 3, None]

@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm import minhash
 from tidemark.llm.common import map_arrow, materialize, utf8
 from tidemark.llm.components import connected_components
 
@@ -102,12 +103,21 @@ def fingerprint_hex(column: str) -> Column:
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 2) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` without near copies: of each component the document with the smallest id stays.
 
-    All columns are kept. Rows with a null id cannot be named a representative; they stay.
-    Repeated rows of a staying id stay.
+    Texts whose sets of word shingles have at least the Jaccard similarity are linked; texts without
+    words are linked to each other. Fingerprints cannot decide this: at similarity 0.8 they differ in some ten
+    bits, and a ball of half that radius has eight million variants. So the links come from
+    ``minhash.links``. All columns are kept. Rows with a null id take part, cannot be named a
+    representative, and stay. Repeated rows of a staying id stay.
     """
-    parts = simhash_components(docs, id_col, text_col, shingle, radius)
-    gone = parts.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone_id")).distinct()
+    prints = materialize(minhash.sketches(docs, id_col, text_col, shingle), "sketches")
+    nodes = prints.groupBy("key").agg(F.min("doc_id").alias("least_id"))
+    roots = connected_components(minhash.links(prints, shingle, similarity))
+    rooted = nodes.join(roots, nodes["key"] == roots["u"], "left").select("key", "least_id", F.coalesce("root", "key").alias("root"))
+    rooted = materialize(rooted, "rooted")
+    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    names = rooted.join(named, "root").select("key", "component_id")
+    gone = prints.select("doc_id", "key").join(names, "key").where("doc_id <> component_id").select(F.col("doc_id").alias("__gone_id")).distinct()
     return docs.join(gone, docs[id_col] == gone["__gone_id"], "left_anti")
