@@ -34,6 +34,36 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(np.exp(langid.forward(words, pieces, table)), [brute(w) for w in words])
 
 
+def lattice(word, names, table):
+    """Sums of all segmentations of every prefix."""
+    alpha = [1.0]
+    for j in range(1, len(word) + 1):
+        alpha.append(sum(alpha[i] * (table[names[word[i:j]]] if word[i:j] in names else langid.UNKNOWN if j - i == 1 else 0.0) for i in range(j)))
+    return alpha
+
+
+@pytest.mark.parametrize("short", [langid.SHORT, 0])
+def test_words_of_any_length_are_whole(monkeypatch, short):
+    monkeypatch.setattr(langid, "SHORT", short)
+    vocab = ["▁", "a", "ab", "b", "ba", "abab", "babababababababab"]
+    pieces = langid.Pieces.of(vocab)
+    names = {p: int(np.searchsorted(pieces.hashes, (langid._hash_strings(langid._codes([p])) * np.uint64(64) + np.uint64(len(p)))[0])) for p in vocab}
+    table = np.append(np.random.default_rng(4).uniform(0.05, 0.3, len(pieces.hashes)), 0.0)
+    words = ["▁" + w for w in ("ab", "ab" * 20, "abxab", "ba" * 60)]
+    got = langid.forward(words, pieces, table[:, None])[:, 0]
+    assert np.allclose(got, [np.log(lattice(w, names, table)[-1]) for w in words])
+    # the derivative of the log sum by a piece's log probability is how often the piece is expected
+    counts = np.array([1.0, 2.0, 3.0, 0.5])
+    expected = langid.expected_pieces(words, counts, pieces, table[:, None])
+    for p in vocab:
+        moved = table.copy()
+        moved[names[p]] *= 1 + 1e-6
+        slope = (langid.forward(words, pieces, moved[:, None])[:, 0] - got) @ counts / 1e-6
+        assert expected[names[p]] == pytest.approx(slope, rel=1e-3, abs=1e-4)
+    long = langid.forward(["▁" + "ab" * 3000], pieces, table[:, None])
+    assert np.isfinite(long).all() and long[0, 0] < -750
+
+
 def test_language_model_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify_held_out(docs, pieces_path()).join(docs.select("doc_id", "lang"), "doc_id").collect()
