@@ -32,6 +32,8 @@ CACHE_LETTERS, CELLS = 10_000_000, 1 << 19
 # Bound of the fit: expected labelled documents of each language. All their words are used.
 FIT_DOCUMENTS = 1000
 FIT_ROUNDS = 4
+#: Languages of a model; more raise, as each has a probability of every piece on the driver and in every task.
+MAX_LANGUAGES = 1000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -229,13 +231,15 @@ def fit_language_model(
     without a language or text are left out; no rows give a model without languages."""
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where("lang is not null and text is not null")
-    shares = rows.groupBy("lang").agg((F.lit(float(documents)) / F.count(F.lit(1))).alias("share"))
+    shares = materialize(rows.groupBy("lang").agg((F.lit(float(documents)) / F.count(F.lit(1))).alias("share")), "shares")
+    langs = [r.lang for r in shares.select("lang").orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
+    if len(langs) > MAX_LANGUAGES:
+        raise ValueError(f"the rows have more than {MAX_LANGUAGES} languages")
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 52)) / float(1 << 52)
-    sample = rows.withColumn("place", place).join(shares, "lang").where("place < share").select("lang", "text")
+    sample = rows.withColumn("place", place).join(F.broadcast(shares), "lang").where("place < share").select("lang", "text")
     counts = map_arrow(sample, _counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     tasks = max(8, 2 * rows.sparkSession.sparkContext.defaultParallelism)  # the rows are few but long work
     counts = materialize(counts.repartition(tasks, "lang", "word"), "words")
-    langs = [r.lang for r in counts.select("lang").distinct().orderBy("lang").collect()]
     pieces = Pieces.of(vocabulary(vocab_path))
     v = len(pieces.hashes)
     table = np.vstack([np.full((v, len(langs)), 1.0 / v), np.zeros((1, len(langs)))])
