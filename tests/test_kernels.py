@@ -103,7 +103,7 @@ def test_statistics():
     assert d == pytest.approx(0, abs=1e-9) and 0.01 < se < 0.05
     assert 0.4 < resample.probabilistic_sharpe(x - x.mean()) < 0.6
     assert resample.expected_max_sharpe(0.01, 1) == 0 < resample.expected_max_sharpe(0.01, 10)
-    index = resample.circular_blocks(100, 7, np.random.default_rng(0))
+    index = resample.circular_blocks(100, 7, np.random.default_rng(0))[0]
     assert len(index) == 100 and ((index[1:7] - index[:6]) % 100 == 1).all()
     assert resample.block_length(x) <= 10 < resample.block_length(np.cumsum(x))
     assert len(resample.cscv_splits(8)) == 70

@@ -30,6 +30,34 @@ class Hmm:
         return -0.5 * (np.log(2 * np.pi * self.var) + (y[:, None] - self.mean) ** 2 / self.var)
 
 
+def _scan(steps: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Row vectors ``left`` times all prefixes of matrix products, each scaled to sum 1; ``left`` itself comes first.
+
+    ``steps`` is (time, ..., k, k). Time is cut into about as many blocks as a block has steps: the products within all
+    blocks go side by side, then one vector goes from block to block. So n steps cost some 2 sqrt(n) array operations.
+    """
+    n, k = len(steps), left.shape[-1]
+    if n == 0:
+        return (left / left.sum(axis=-1, keepdims=True))[None]
+    size = max(1, round(n**0.5))
+    blocks = -(-n // size)
+    padded = np.concatenate([steps, np.broadcast_to(np.eye(k), (blocks * size - n, *steps.shape[1:]))])
+    whole = padded.reshape(blocks, size, *steps.shape[1:]).copy()
+    for j in range(1, size):
+        np.matmul(whole[:, j - 1], whole[:, j], out=whole[:, j])
+        if j % 8 == 0:
+            whole[:, j] /= np.maximum(whole[:, j].max(axis=(-2, -1), keepdims=True), 1e-300)
+    heads = np.empty((blocks, *left.shape))
+    now = left / left.sum(axis=-1, keepdims=True)
+    for b in range(blocks):
+        heads[b] = now
+        now = np.matmul(now[..., None, :], whole[b, -1])[..., 0, :]
+        now = now / np.maximum(now.sum(axis=-1, keepdims=True), 1e-300)
+    out = np.matmul(heads[:, None, ..., None, :], whole)[..., 0, :].reshape(blocks * size, *left.shape)[:n]
+    out = out / np.maximum(out.sum(axis=-1, keepdims=True), 1e-300)
+    return np.concatenate([heads[:1], out])
+
+
 def fit_hmm(r: np.ndarray, states: int = 2, seeds: int = 10, max_iter: int = 1000, tol: float = 1e-6) -> Hmm:
     """The best of several seeded Baum-Welch fits, which go on side by side until none gains ``tol``."""
     y = 100.0 * np.asarray(r, dtype=float)
@@ -42,35 +70,32 @@ def fit_hmm(r: np.ndarray, states: int = 2, seeds: int = 10, max_iter: int = 100
     start = np.full((seeds, states), 1 / states)
     trans = np.full((seeds, states, states), 0.1 / max(1, states - 1))
     trans[:, np.arange(states), np.arange(states)] = 0.9
-    before = np.full(seeds, -np.inf)
-    alpha, beta, scale = np.empty((n, seeds, states)), np.ones((n, seeds, states)), np.empty((n, seeds))
-    for _ in range(max_iter):
-        logs = -0.5 * (np.log(2 * np.pi * var) + (y[:, None, None] - mean) ** 2 / var)
+    before, live = np.full(seeds, -np.inf), np.arange(seeds)
+    for _ in range(max_iter):  # seeds that gain nothing more rest
+        m, v = mean[live], var[live]
+        logs = -0.5 * (np.log(2 * np.pi * v) + (y[:, None, None] - m) ** 2 / v)
         top = logs.max(axis=2)
         dens = np.exp(logs - top[:, :, None])
-        a = start * dens[0]
-        for t in range(n):
-            if t:
-                a = np.matmul(alpha[t - 1][:, None, :], trans)[:, 0, :] * dens[t]
-            scale[t] = np.maximum(a.sum(axis=1), 1e-300)
-            alpha[t] = a / scale[t][:, None]
-        ahead = dens / scale[:, :, None]
-        for t in range(n - 2, -1, -1):
-            beta[t] = np.matmul(trans, (ahead[t + 1] * beta[t + 1])[:, :, None])[:, :, 0]
+        steps = trans[live] * dens[1:, :, None, :]
+        alpha = _scan(steps, start[live] * dens[0])
+        beta = _scan(np.swapaxes(steps[::-1], -1, -2), np.ones((len(live), states)))[::-1]
+        ahead = np.concatenate([start[live][None], np.matmul(alpha[:-1][..., None, :], trans[live])[..., 0, :]])
+        now = (np.log(np.maximum((ahead * dens).sum(axis=2), 1e-300)) + top).sum(axis=0)
         gamma = alpha * beta
         gamma /= gamma.sum(axis=2, keepdims=True)
-        pairs = trans * np.einsum("tsi,tsj->sij", alpha[:-1], ahead[1:] * beta[1:]) + 1e-12
+        pairs = alpha[:-1][..., :, None] * steps * beta[1:][..., None, :]
+        pairs = (pairs / np.maximum(pairs.sum(axis=(2, 3), keepdims=True), 1e-300)).sum(axis=0) + 1e-12
         weight = gamma.sum(axis=0) + 1e-12
-        now = np.log(scale).sum(axis=0) + top.sum(axis=0)
-        start = (gamma[0] + 1e-12) / (gamma[0] + 1e-12).sum(axis=1, keepdims=True)
-        trans = pairs / pairs.sum(axis=2, keepdims=True)
-        mean = np.einsum("tsk,t->sk", gamma, y) / weight
-        var = np.maximum(np.einsum("tsk,tsk->sk", gamma, (y[:, None, None] - mean) ** 2) / weight, FLOOR)
-        if (now - before < tol).all():
+        start[live] = (gamma[0] + 1e-12) / (gamma[0] + 1e-12).sum(axis=1, keepdims=True)
+        trans[live] = pairs / pairs.sum(axis=2, keepdims=True)
+        mean[live] = m = np.einsum("tsk,t->sk", gamma, y) / weight
+        var[live] = np.maximum(np.einsum("tsk,tsk->sk", gamma, (y[:, None, None] - m) ** 2) / weight, FLOOR)
+        gain, before[live] = now - before[live], now
+        live = live[gain >= tol]
+        if not len(live):
             break
-        before = now
-    k = int(np.argmax(now))
-    return Hmm(start[k], trans[k], mean[k], var[k], float(now[k]))
+    k = int(np.argmax(before))
+    return Hmm(start[k], trans[k], mean[k], var[k], float(before[k]))
 
 
 def filter_prob(model: Hmm, r: np.ndarray, alpha: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

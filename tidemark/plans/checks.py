@@ -134,6 +134,26 @@ def chk7(s: X, d: str) -> D:
     return expiry_problems(labels, rows.select("date"))
 
 
-@query("chk8_report", sql("SELECT 'calendar' AS \"check\", (SELECT count(*) FROM price WHERE date NOT IN (SELECT date FROM tri)) + (SELECT count(*) FROM tri WHERE date NOT IN (SELECT date FROM price) AND date BETWEEN (SELECT min(date) FROM price) AND (SELECT max(date) FROM price)) AS n_bad UNION ALL SELECT 'sources', (SELECT count(*) FROM (SELECT date FROM auctions_by_source GROUP BY date HAVING max(yield_pct) - min(yield_pct) > 0.25))", "price", "tri", "auctions_by_source"))
+def _all_checks(s: X, d: str) -> dict[str, D]:
+    """The offending rows of every check."""
+    return {
+        "calendar": chk1(s, d),
+        "settlement": chk2(s, d),
+        "ratio": chk3(s, d),
+        "parity": chk4(s, d).where("deviation > 0.05"),
+        "gaps": chk5(s, d),
+        "sources": chk6(s, d),
+        "expiries": chk7(s, d),
+    }
+
+
+def _report_sql() -> str:
+    from tidemark.registry import SQL
+
+    of = {"calendar": "chk1_calendar", "settlement": "chk2_settlement", "ratio": "chk3_ratio", "parity": "chk4_parity", "gaps": "chk5_long_gaps", "sources": "chk6_source_conflicts", "expiries": "chk7_expiries"}
+    return " UNION ALL ".join(f"SELECT '{k}' AS \"check\", (SELECT count(*) FROM ({SQL[v]}){' WHERE deviation > 0.05' if k == 'parity' else ''}) AS n_bad" for k, v in of.items())
+
+
+@query("chk8_report", _report_sql())
 def chk8(s: X, d: str) -> D:
-    return report({"calendar": chk1(s, d), "sources": chk6(s, d)})
+    return report(_all_checks(s, d))

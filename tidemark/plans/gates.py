@@ -6,6 +6,7 @@ Inference restarts at each refit's window, so every (detector, refit) is an inde
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -42,65 +43,92 @@ def detector_inputs(returns: DataFrame, rf: DataFrame) -> DataFrame:
     ).na.drop("any")
 
 
+def keys_of(rows: DataFrame) -> list[str]:
+    """Series are told apart by ``series_id``; rows without it are one series."""
+    return ["series_id"] if "series_id" in rows.columns else []
+
+
+def with_pos(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``pos``, their place by date in their series from 0."""
+    if "pos" in rows.columns:
+        return rows
+    return rows.withColumn("pos", (F.row_number().over(W.by_date(*(keys_of(rows) or [F.lit(1)]))) - 1).cast("long"))
+
+
 def refit_positions(rows: DataFrame, first: int, step: int) -> DataFrame:
     """Rows (with ``pos``, their place by date from 0) at ``first`` and every ``step`` after it."""
-    if "pos" not in rows.columns:
-        rows = rows.withColumn("pos", (F.row_number().over(W.by_date("series_id")) - 1).cast("long"))
-    return rows.where((F.col("pos") >= first) & ((F.col("pos") - first) % step == 0))
+    return with_pos(rows).where((F.col("pos") >= first) & ((F.col("pos") - first) % step == 0))
 
 
 def trailing(rows: DataFrame, refits: DataFrame, window: int, ahead: str | None = None) -> DataFrame:
     """Rows of each refit's trailing window, up to the refit's own position or, with ``ahead``, to before that column.
 
-    An equi-join on position blocks as long as the window, so no pair outside neighbouring blocks is tried.
+    An equi-join on the series and position blocks as long as the window, so no pair outside neighbouring blocks is
+    tried. Refits without ``series_id`` hold for every series.
     """
     last = F.col("refit") if ahead is None else F.col(ahead) - 1
     span = F.sequence(F.floor((F.col("refit") - window + 1) / window), F.floor(last / window))
     wanted = refits.withColumn("__b", F.explode(span))
-    hit = rows.withColumn("__b", F.floor(F.col("pos") / window)).join(wanted, "__b")
+    hit = rows.withColumn("__b", F.floor(F.col("pos") / window)).join(wanted, [*keys_of(refits), "__b"])
     return hit.where((F.col("pos") > F.col("refit") - window) & (F.col("pos") <= last)).drop("__b")
 
 
+def _until_next(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """``marks`` (series, refit) with ``next``, the refit after it or the end of the series."""
+    keys = keys_of(rows)
+    end = rows.groupBy(*keys).agg((F.max("pos") + 1).alias("end"))
+    nexts = F.lead("refit").over(Window.partitionBy(*(keys or [F.lit(1)])).orderBy("refit"))
+    marks = marks.withColumn("next", nexts)
+    marks = marks.join(end, keys) if keys else marks.join(F.broadcast(end))  # without keys the end is one row
+    return marks.select(*keys, "refit", F.coalesce("next", "end").alias("next"))
+
+
 def _refits(rows: DataFrame, first: int, step: int) -> DataFrame:
-    end = rows.agg((F.max("pos") + 1).alias("end"))
-    marks = refit_positions(rows, first, step).select(F.col("pos").alias("refit"))
-    nexts = F.lead("refit").over(Window.partitionBy(F.lit(1)).orderBy("refit"))
-    return marks.withColumn("next", nexts).join(F.broadcast(end)).select("refit", F.coalesce("next", "end").alias("next"))
+    return _until_next(rows, refit_positions(rows, first, step).select(*keys_of(rows), F.col("pos").alias("refit")))
+
+
+def refits_at(rows: DataFrame, dates: DataFrame) -> DataFrame:
+    """Refits at the rows of the given ``date``s, each up to the next."""
+    own = with_pos(rows)
+    return _until_next(own, own.join(dates.select("date").distinct(), "date", "left_semi").select(*keys_of(own), F.col("pos").alias("refit")))
 
 
 def segments(rows: DataFrame, fitted: DataFrame) -> DataFrame:
     """Rows with the fitted columns of the refit whose segment [refit, next) they lie in, NULL outside."""
+    keys = keys_of(fitted)
     struct = F.struct(*[F.col(c) for c in fitted.columns])
-    found = asof(rows, fitted.select(F.col("refit").alias("pos"), struct.alias("__f")), "pos", "__f")
+    found = asof(rows, fitted.select(*keys, F.col("refit").alias("pos"), struct.alias("__f")), "pos", "__f", keys)
     live = F.col("pos") < F.col("__f.next")
-    return found.select(*rows.columns, *[F.when(live, F.col(f"__f.{c}")).alias(c) for c in fitted.columns if c != "next"])
+    return found.select(*rows.columns, *[F.when(live, F.col(f"__f.{c}")).alias(c) for c in fitted.columns if c not in ("next", *keys)])
 
 
-def percentile_gate(rows: DataFrame, column: str, q: float, first: int, step: int, window: int, min_history: int) -> DataFrame:
+def percentile_gate(
+    rows: DataFrame, column: str, q: float, first: int = 0, step: int = 1, window: int = 3000, min_history: int = 1500, refits: DataFrame | None = None
+) -> DataFrame:
     """``rows`` with ``refit`` and ``g``: 1 where the column is above its q-quantile in the refit's window."""
-    refits = _refits(rows, first, step)
+    refits, keys = _refits(rows, first, step) if refits is None else refits, keys_of(rows)
     fitted = (
-        trailing(rows.select("pos", column), refits, window)
-        .groupBy("refit", "next")
+        trailing(rows.select(*keys, "pos", column), refits, window)
+        .groupBy(*keys, "refit", "next")
         .agg(F.percentile(column, q).alias("cut"), F.count(F.lit(1)).alias("n"))
         .where(F.col("n") >= min_history)
-        .select("refit", "next", "cut")
+        .select(*keys, "refit", "next", "cut")
     )
     return segments(rows, fitted).withColumn("g", (F.col(column) > F.col("cut")).cast("double")).drop("cut")
 
 
 def percentile_sweep(rows: DataFrame, column: str, qs: list[float], first: int, step: int, window: int, min_history: int) -> DataFrame:
-    """``(q, pos, g)``: one pass over the windows gives the cuts of all quantiles."""
-    refits = _refits(rows, first, step)
+    """``(series_id, q, pos, g)``: one pass over the windows gives the cuts of all quantiles."""
+    refits, keys = _refits(rows, first, step), keys_of(rows)
     cuts = (
-        trailing(rows.select("pos", column), refits, window)
-        .groupBy("refit", "next")
+        trailing(rows.select(*keys, "pos", column), refits, window)
+        .groupBy(*keys, "refit", "next")
         .agg(F.percentile(column, F.array(*map(F.lit, qs))).alias("cuts"), F.count(F.lit(1)).alias("n"))
         .where(F.col("n") >= min_history)
-        .select("refit", "next", F.arrays_zip(F.array(*map(F.lit, qs)).alias("q"), F.col("cuts").alias("cut")).alias("c"))
+        .select(*keys, "refit", "next", F.arrays_zip(F.array(*map(F.lit, qs)).alias("q"), F.col("cuts").alias("cut")).alias("c"))
     )
-    live = segments(rows.select("pos", column), cuts).where("refit is not null")
-    return live.select("pos", column, F.explode("c").alias("c")).select(F.col("c.q").alias("q"), "pos", (F.col(column) > F.col("c.cut")).alias("g"))
+    live = segments(rows.select(*keys, "pos", column), cuts).where("refit is not null")
+    return live.select(*keys, "pos", column, F.explode("c").alias("c")).select(*keys, F.col("c.q").alias("q"), "pos", (F.col(column) > F.col("c.cut")).alias("g"))
 
 
 def cut_sweep(df: DataFrame, column: str, cuts: list[float]) -> DataFrame:
@@ -111,14 +139,14 @@ def cut_sweep(df: DataFrame, column: str, cuts: list[float]) -> DataFrame:
 # Kernels: fit on the window's rows, infer on all rows given; return (gate, score)
 
 
-def _hmm(fit: pd.DataFrame, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    model = hmm.fit_hmm(fit["r"].to_numpy(), states=2, seeds=3, max_iter=200, tol=1e-4)
+def _hmm(fit: pd.DataFrame, rows: pd.DataFrame, states: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    model = hmm.fit_hmm(fit["r"].to_numpy(), states=states)
     p, _ = hmm.filter_prob(model, rows["r"].to_numpy())
     return (p > 0.5).astype(float), p
 
 
-def _jump(fit: pd.DataFrame, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    model = jump.fit_jump(fit[FEATURES[1:]].to_numpy(), fit["x"].to_numpy(), penalty=50.0)
+def _jump(fit: pd.DataFrame, rows: pd.DataFrame, penalty: float = 50.0) -> tuple[np.ndarray, np.ndarray]:
+    model = jump.fit_jump(fit[FEATURES[1:]].to_numpy(), fit["x"].to_numpy(), penalty=penalty)
     g = jump.online_states(model, rows[FEATURES[1:]].to_numpy())
     return g, g
 
@@ -135,7 +163,16 @@ def _rv(fit: pd.DataFrame, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return (score > np.percentile(fit["rv"].to_numpy(), BOCPD_QUANTILE)).astype(float), score
 
 
-DETECTORS: dict[str, Callable] = {"hmm": _hmm, "jump": _jump, "bocpd": _bocpd, "rv": _rv}
+# Penalties per switch among which the walk-forward run selects.
+PENALTIES = [1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0, 200.0, 500.0]
+DETECTORS: dict[str, Callable] = {
+    "hmm": _hmm,
+    "hmm3": partial(_hmm, states=3),
+    "jump": _jump,
+    "bocpd": _bocpd,
+    "rv": _rv,
+    **{f"jump-{k:g}": partial(_jump, penalty=k) for k in PENALTIES},
+}
 
 
 def _fan_out(tasks: DataFrame, *keys: str) -> DataFrame:
@@ -143,57 +180,68 @@ def _fan_out(tasks: DataFrame, *keys: str) -> DataFrame:
     return tasks.repartition(max(8, 2 * tasks.sparkSession.sparkContext.defaultParallelism), *keys)
 
 
-def gate_path(rows: DataFrame, kind: str, first: int, step: int, window: int, min_history: int) -> DataFrame:
-    """``(date, pos, refit, g, score)`` of a detector refitted at each refit position.
+def gate_paths(rows: DataFrame, kinds: list[str], refits: DataFrame, window: int = 3000, min_history: int = 1500) -> DataFrame:
+    """``(series_id, kind, date, pos, refit, g, score)`` of detectors refitted at each of ``refits`` (refit, next).
 
-    A task fits on the refit's trailing window and infers from the window's start to the day before the
-    next refit, but reports only the days from the refit on, so no output uses later rows. Missing inputs
-    raise. Refits with fewer than ``min_history`` rows are skipped.
+    A task is one detector and refit: it fits on the refit's trailing window and infers from the window's start to
+    the day before the next refit, but reports only the days from the refit on, so no output uses later rows.
+    Missing inputs raise. Refits with fewer than ``min_history`` rows are skipped.
     """
-    kernel = DETECTORS[kind]
+    keys = keys_of(rows)
+    columns = [*keys, "kind", "date", "pos", "refit", "g", "score"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
-        refit = int(pdf["refit"].iloc[0])
+        kind, refit = pdf["kind"].iloc[0], int(pdf["refit"].iloc[0])
         fit = pdf[pdf["pos"] <= refit]
         if len(fit) < min_history:
-            return pd.DataFrame({"date": [], "pos": [], "refit": [], "g": [], "score": []})
+            return pdf.assign(g=0.0, score=0.0).iloc[:0][columns]
         if pdf[["r", "x", *FEATURES]].isna().any().any():
             raise ValueError("detector input has missing values")
-        g, score = kernel(fit, pdf)
+        g, score = DETECTORS[kind](fit, pdf)
         out = pdf.assign(g=g, score=score)
-        return out.loc[out["pos"] >= refit, ["date", "pos", "refit", "g", "score"]]
+        return out.loc[out["pos"] >= refit, columns]
 
-    tasks = _fan_out(trailing(rows, _refits(rows, first, step), window, ahead="next"), "refit")
-    return tasks.groupBy("refit").applyInPandas(run, "date date, pos long, refit long, g double, score double")
+    schema = "".join(f"{k} string, " for k in keys) + "kind string, date date, pos long, refit long, g double, score double"
+    tasks = trailing(rows, refits, window, ahead="next").withColumn("kind", F.explode(F.array(*map(F.lit, kinds))))
+    return _fan_out(tasks, *keys, "kind", "refit").groupBy(*keys, "kind", "refit").applyInPandas(run, schema)
+
+
+def gate_path(rows: DataFrame, kind: str, first: int, step: int, window: int, min_history: int) -> DataFrame:
+    """``(series_id, date, pos, refit, g, score)`` of one detector refitted every ``step`` rows from ``first`` on."""
+    return gate_paths(rows, [kind], _refits(rows, first, step), window, min_history).drop("kind")
 
 
 def in_sample(rows: DataFrame, kinds: list[str], first: int, step: int, window: int, min_history: int) -> DataFrame:
-    """``(kind, refit, pos, state)``: most likely path within each fit window (Viterbi, jump path)."""
+    """``(series_id, kind, refit, pos, state)``: most likely path within each fit window (Viterbi, jump path)."""
+    keys = keys_of(rows)
+    columns = [*keys, "kind", "refit", "pos", "state"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
         kind = pdf["kind"].iloc[0]
         if len(pdf) < min_history:
-            return pd.DataFrame({"kind": [], "refit": [], "pos": [], "state": []})
-        if kind == "hmm":
-            model = hmm.fit_hmm(pdf["r"].to_numpy(), states=2, seeds=3, max_iter=200, tol=1e-4)
+            return pdf.assign(state=0.0).iloc[:0][columns]
+        if kind.startswith("hmm"):
+            model = hmm.fit_hmm(pdf["r"].to_numpy(), states=3 if kind == "hmm3" else 2)
             state = (hmm.viterbi(model, pdf["r"].to_numpy()) == model.stressed).astype(float)
         else:
             f = pdf[FEATURES[1:]].to_numpy()
             state = jump.in_sample_states(jump.fit_jump(f, pdf["x"].to_numpy(), penalty=50.0), f)
-        return pd.DataFrame({"kind": kind, "refit": pdf["refit"], "pos": pdf["pos"], "state": state})
+        return pdf.assign(state=state)[columns]
 
+    schema = "".join(f"{k} string, " for k in keys) + "kind string, refit long, pos long, state double"
     tasks = trailing(rows, _refits(rows, first, step), window).withColumn("kind", F.explode(F.array(*map(F.lit, kinds))))
-    return _fan_out(tasks, "kind", "refit").groupBy("kind", "refit").applyInPandas(run, "kind string, refit long, pos long, state double")
+    return _fan_out(tasks, *keys, "kind", "refit").groupBy(*keys, "kind", "refit").applyInPandas(run, schema)
 
 
 def window_states(rows: DataFrame, column: str, q: float, first: int, step: int, window: int, min_history: int) -> DataFrame:
-    """``(refit, pos, state)``: the percentile state of each day of each fit window."""
-    own = trailing(rows.select("pos", column), _refits(rows, first, step), window)
-    w = Window.partitionBy("refit")
+    """``(series_id, refit, pos, state)``: the percentile state of each day of each fit window."""
+    keys = keys_of(rows)
+    own = trailing(rows.select(*keys, "pos", column), _refits(rows, first, step), window)
+    w = Window.partitionBy(*keys, "refit")
     cut, n = F.percentile(column, q).over(w), F.count(F.lit(1)).over(w)
-    return own.withColumn("n", n).withColumn("state", (F.col(column) > cut).cast("int")).where(F.col("n") >= min_history).select("refit", "pos", "state")
+    return own.withColumn("n", n).withColumn("state", (F.col(column) > cut).cast("int")).where(F.col("n") >= min_history).select(*keys, "refit", "pos", "state")
 
 
 def select_member(members: DataFrame, dates: DataFrame, months: int, min_rows: int) -> DataFrame:

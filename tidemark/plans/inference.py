@@ -9,9 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.kernels import paths, resample
+from tidemark.kernels import accounts, paths, resample
 from tidemark.operators import windows as W
-from tidemark.plans.strategies import switch_returns
 
 YEAR = 252
 
@@ -143,28 +142,31 @@ def _chunks(spark: SparkSession, n_boot: int, chunk: int, draw) -> np.ndarray:
     return spark.range(0, n, 1, n).mapInPandas(run, "v double").toPandas()["v"].to_numpy()
 
 
-def paired_difference(rows: DataFrame, a: str, b: str, n_boot: int = 10_000, chunk: int = 250, seed: int = 0) -> DataFrame:
-    """``(diff, low, high, p, length)``: circular-block bootstrap of the difference of Sharpe ratios."""
+def paired_difference(rows: DataFrame, a: str, b: str, metric: str = "sharpe", n_boot: int = 10_000, chunk: int = 250, seed: int = 0) -> DataFrame:
+    """``(diff, low, high, p, length)``: circular-block bootstrap of the difference of a metric (``resample.METRICS``).
+
+    The block length is that of the difference of the two series; p is the share of draws as far from the
+    difference as it is from zero.
+    """
     r1, r2, rf = _arrays(rows, a, b, "rf")
-    length = max(resample.block_length(r1 - rf), resample.block_length(r2 - rf))
-    diff = resample.sharpe(r1 - rf) - resample.sharpe(r2 - rf)
-    draws = _chunks(rows.sparkSession, n_boot, chunk, lambda m, k: resample.difference_draws(resample.sharpe, r1, r2, rf, length, m, [seed, k]))
+    score, length = resample.METRICS[metric], resample.block_length(r1 - r2)
+    diff = float(score(r1, rf) - score(r2, rf))
+    draws = _chunks(rows.sparkSession, n_boot, chunk, lambda m, k: resample.difference_draws(score, r1, r2, rf, length, m, [seed, k]))
     low, high = np.percentile(draws, [2.5, 97.5])
-    p = float((np.abs(draws - diff) >= abs(diff)).mean())
-    return rows.sparkSession.createDataFrame([(float(diff), float(low), float(high), p, length)], "diff double, low double, high double, p double, length long")
+    p = float((np.abs(draws - diff) >= abs(diff)).mean()) if np.isfinite(diff) else float("nan")
+    return rows.sparkSession.createDataFrame([(diff, float(low), float(high), p, length)], "diff double, low double, high double, p double, length long")
 
 
-def sharpe_difference_test(rows: DataFrame, a: str, b: str, n_boot: int = 5000, chunk: int = 250, seed: int = 0) -> DataFrame:
-    """``(diff, se, low, high, p)``: studentised block bootstrap of the Sharpe difference, annualised."""
+def sharpe_difference_test(rows: DataFrame, a: str, b: str, n_boot: int = 10_000, chunk: int = 250, seed: int = 0) -> DataFrame:
+    """``(diff, se, low, high, p, length)``: studentised block bootstrap of the Sharpe difference, annualised."""
     r1, r2, rf = _arrays(rows, a, b, "rf")
-    x1, x2 = r1 - rf, r2 - rf
-    length = max(resample.block_length(x1), resample.block_length(x2))
-    d, se = resample.sharpe_difference(x1, x2)
+    x1, x2, length = r1 - rf, r2 - rf, resample.block_length(r1 - r2)
+    d, se = (float(v) for v in resample.sharpe_difference(x1, x2))
     draws = _chunks(rows.sparkSession, n_boot, chunk, lambda m, k: resample.studentised_draws(x1, x2, length, m, [seed, k]))
     reach, year = np.percentile(draws, 95) * se, math.sqrt(YEAR)
-    p = float((1 + (draws >= abs(d) / se).sum()) / (len(draws) + 1))
-    row = (d * year, se * year, (d - reach) * year, (d + reach) * year, p)
-    return rows.sparkSession.createDataFrame([tuple(map(float, row))], "diff double, se double, low double, high double, p double")
+    p = float((draws >= abs(d / se)).mean()) if np.isfinite(d / se) else float("nan")
+    row = (*map(float, (d * year, se * year, (d - reach) * year, (d + reach) * year, p)), length)
+    return rows.sparkSession.createDataFrame([row], "diff double, se double, low double, high double, p double, length long")
 
 
 def hac_sharpe(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -191,59 +193,89 @@ def hac_sharpe(rows: DataFrame, a: str, b: str) -> DataFrame:
     return y.agg(F.lit(m.m1 / math.sqrt(v1) - m.m2 / math.sqrt(v2)).alias("diff"), F.sqrt(total / n).alias("se"))
 
 
-def circular_shift_test(days: DataFrame, n: int, seed: int, margin: int, lag: int = 1, cost: float = 0.001) -> DataFrame:
-    """``(observed, p, n)``: the strategy's Sharpe against gates rotated in time by random offsets, all in one plan."""
-    spark = days.sparkSession
-    total = days.count()
-    margin = min(margin, total // 4)
-    offsets = [0, *map(int, np.random.default_rng(seed).integers(margin, total - margin + 1, n))]
-    table = spark.createDataFrame(list(enumerate(offsets)), "trial long, offset long")
-    rows = days.join(F.broadcast(table))
-    rows = rotate(rows, "g", F.col("offset"), ["series_id", "trial"])
-    r = switch_returns(rows, lag, cost, cost, ["series_id", "trial"])
-    x = F.col("r") - F.col("rf")
-    scores = r.groupBy("trial").agg((F.avg(x) / F.stddev_samp(x) * math.sqrt(YEAR)).alias("s"))
-    own = F.max(F.when(F.col("trial") == 0, F.col("s"))).over(Window.partitionBy(F.lit(1)))
-    scores = scores.withColumn("own", own).where("trial > 0")
-    return scores.agg(
-        F.round(F.max("own"), 6).alias("observed"), F.round((F.sum((F.col("s") >= F.col("own")).cast("int")) + 1) / (F.count(F.lit(1)) + 1), 6).alias("p"), F.count(F.lit(1)).alias("n")
-    )
+def switch_score(tri: np.ndarray, rf: np.ndarray, first: int, lag: int, buy: float, sell: float):
+    """Sharpe ratios, from day ``first`` on, of the index switched by each of several gates of those days; before, invested."""
 
+    def score(gates: np.ndarray) -> np.ndarray:
+        whole = np.concatenate([np.zeros((len(gates), first)), gates], axis=1)
+        r = accounts.switch_path(tri, rf, whole, lag, buy, sell)
+        begin = max(first, 1)  # the first day of all has no return
+        return resample.sharpe(r[:, begin:], rf[begin:])
 
-def deflated_sharpe(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``(keys, sr, sr0, psr, dsr)``: probability that a member's Sharpe beats 0, and the best of as many trials by luck."""
-    x = F.col("r") - F.col("rf")
-    daily = rows.groupBy(*keys).agg((F.avg(x) / F.stddev_samp(x)).alias("sr"))
-    spread = daily.agg(F.var_samp("sr").alias("v"), F.count(F.lit(1)).alias("n")).first()
-    sr0 = resample.expected_max_sharpe(spread.v or 0.0, spread.n)
+    return score
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = (pdf["r"] - pdf["rf"]).to_numpy(dtype=float)
-        out = {"sr": own.mean() / own.std(ddof=1), "sr0": sr0, "psr": resample.probabilistic_sharpe(own), "dsr": resample.probabilistic_sharpe(own, sr0)}
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, **{k: round(float(v), 6) for k, v in out.items()}}])
 
-    return rows.groupBy(*keys).applyInPandas(run, ", ".join([f"{k} string" for k in keys] + ["sr double", "sr0 double", "psr double", "dsr double"]))
+def straddle_score(days: dict[str, np.ndarray], first: int, last: int, lag: int, buy: float, sell: float):
+    """Manipulation-proof measures, from day ``first`` to before ``last``, of the straddle account under each gate of those days."""
+
+    def score(gates: np.ndarray) -> np.ndarray:
+        n = len(days["rf"])
+        whole = np.concatenate([np.zeros((len(gates), first)), gates, np.zeros((len(gates), n - last))], axis=1)
+        value = accounts.straddle_path(days, whole, lag, buy, sell)
+        r = value / np.concatenate([np.ones((len(gates), 1)), value[:, :-1]], axis=1) - 1
+        return resample.mppm(r[:, first:last], days["rf"][first:last])
+
+    return score
+
+
+def circular_shift_test(spark: SparkSession, gate: np.ndarray, score, n: int = 999, seed: int = 0, margin: int = 252, chunk: int = 50) -> DataFrame:
+    """``(observed, null_mean, p, n)``: a gate's score against those of its rotations in time, one-sided.
+
+    Offsets are uniform in [margin, days - margin]; ``score`` takes several gates, one a row, and each chunk of rotations
+    is a task. Missing days of the gate count as 0. A series shorter than two margins raises.
+    """
+    gate = np.nan_to_num(gate)
+    if len(gate) < 2 * margin:
+        raise ValueError(f"{len(gate)} days leave no offset with a margin of {margin}")
+    offsets = np.random.default_rng(seed).integers(margin, len(gate) - margin + 1, n)
+    observed = float(score(gate[None])[0])
+    null = _chunks(spark, n, chunk, lambda m, k: score(np.stack([np.roll(gate, o) for o in offsets[k * chunk : k * chunk + m]])))
+    p = float((1 + (null >= observed).sum()) / (n + 1)) if np.isfinite(observed) else float("nan")
+    row = (round(observed, 6), round(float(null.mean()), 6), p, n)
+    return spark.createDataFrame([row], "observed double, null_mean double, p double, n long")
 
 
 def effective_trials(rows: DataFrame, member: str) -> DataFrame:
-    """``(n_raw, n_eff, variance)`` of the members' correlation clusters, on the days that all have."""
+    """``(n_raw, n_eff, variance)`` of the clusters of the members' excess returns, on the days that all have.
+
+    Members and days of one family are a few dozen by a few thousand numbers, so a family is one task.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="date", columns=member, values="r").dropna()
+        wide = pdf.pivot(index="date", columns=member, values="x").dropna()
         k, variance, _ = resample.effective_trials(wide.to_numpy())
-        return pd.DataFrame([{"n_raw": wide.shape[1], "n_eff": k, "variance": round(variance, 9)}])
+        return pd.DataFrame([{"n_raw": wide.shape[1], "n_eff": k, "variance": variance}])
 
-    one = rows.select("date", member, "r").withColumn("__one", F.lit(1))
+    one = rows.select("date", member, (F.col("r") - F.col("rf")).alias("x")).withColumn("__one", F.lit(1))
     return one.groupBy("__one").applyInPandas(lambda pdf: run(pdf), "n_raw long, n_eff long, variance double")
 
 
-def pbo(rows: DataFrame, blocks: int = 16) -> DataFrame:
+def deflated_sharpe(rows: DataFrame, member: str) -> DataFrame:
+    """``(member, sr, sr0, psr, dsr)``: probability that a member's Sharpe beats 0, and the best of as many trials by luck.
+
+    The trials are the effective ones: number and variance of the members' clusters.
+    """
+    trials = effective_trials(rows, member).first()
+    sr0 = resample.expected_max_sharpe(trials.variance, trials.n_eff)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = (pdf["r"] - pdf["rf"]).to_numpy(dtype=float)
+        out = {"sr": own.mean() / own.std(ddof=1), "sr0": sr0, "psr": resample.probabilistic_sharpe(own), "dsr": resample.probabilistic_sharpe(own, sr0)}
+        return pd.DataFrame([{member: pdf[member].iloc[0], **{k: round(float(v), 6) for k, v in out.items()}}])
+
+    return rows.groupBy(member).applyInPandas(run, f"{member} string, sr double, sr0 double, psr double, dsr double")
+
+
+def pbo(rows: DataFrame, blocks: int = 16, metric: str = "sharpe", rho: float = 3.0) -> DataFrame:
     """``(splits, pbo)``: probability of backtest overfitting by combinatorially symmetric cross-validation.
 
-    ``rows`` is (date, member, x). Only count, sum and sum of squares per block and member go on; a split is a
+    ``rows`` is (date, member, x), x the excess return; for the metric mppm it is the growth over cash,
+    (1 + r) / (1 + rf). Only count, sum and sum of squares per block and member go on; a split is a
     bit mask of the blocks in sample. The best in sample is the first of the members with the highest ratio.
     """
     spark = rows.sparkSession
+    if metric == "mppm":
+        rows = rows.withColumn("x", F.pow("x", F.lit(1 - rho)))
     one = Window.partitionBy(F.lit(1))
     days = rows.select("date").distinct().withColumn("pos", F.row_number().over(one.orderBy("date")) - 1).withColumn("n", F.count(F.lit(1)).over(one))
     block = F.array_max(F.filter(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.col("pos") >= F.floor(k * F.col("n") / float(blocks))))
@@ -254,6 +286,8 @@ def pbo(rows: DataFrame, blocks: int = 16) -> DataFrame:
 
     def ratio(cond: Column) -> Column:
         n, sx, sxx = (F.sum(F.when(cond, F.col(c))) for c in ("n", "sx", "sxx"))
+        if metric == "mppm":
+            return F.round(F.log(sx / n) * (YEAR / (1 - rho)), 9)
         return F.round(F.try_divide(sx / n, F.sqrt(sxx / n - F.pow(sx / n, 2))), 9)
 
     perf = masks.join(F.broadcast(sums)).groupBy("mask", "member").agg(ratio(inside).alias("ins"), ratio(~inside).alias("outs"))
@@ -264,21 +298,18 @@ def pbo(rows: DataFrame, blocks: int = 16) -> DataFrame:
     return split.where(best.isNotNull()).agg(F.count(F.lit(1)).alias("splits"), F.avg((rank / (F.col("n") + 1.0) <= 0.5).cast("int")).alias("pbo"))
 
 
-def null_calibration(spark: SparkSession, n_paths: int, n_days: int, rotations: int, seed: int) -> DataFrame:
-    """``(path, p)``: p-values of gates that are independent of the returns; they should be uniform."""
+def null_calibration(spark: SparkSession, n_paths: int, n_days: int, rotations: int, seed: int, margin: int = 252, cost: float = 0.001) -> DataFrame:
+    """``(path, p)``: p-values of switching by gates that are independent of the returns; they should be uniform."""
 
     def run(batches):
         for pdf in batches:
             for k in pdf["id"]:
                 draw = np.random.default_rng([seed, int(k)])
                 r, g = draw.standard_normal(n_days) * 0.01, paths.markov_gate(n_days, seed=[seed, int(k), 1])
-
-                def score(gate: np.ndarray) -> float:
-                    return resample.sharpe(np.where(np.concatenate([[0], gate[:-1]]) == 1, 0.0, r))
-
-                own = score(g)
-                offsets = draw.integers(n_days // 4, 3 * n_days // 4, rotations)
-                p = (1 + sum(score(np.roll(g, o)) >= own for o in offsets)) / (rotations + 1)
-                yield pd.DataFrame({"path": [k], "p": [round(p, 6)]})
+                score = switch_score(np.cumprod(1 + r), np.zeros(n_days), 0, 1, cost, cost)
+                offsets = draw.integers(margin, n_days - margin + 1, rotations)
+                null = score(np.stack([np.roll(g, o) for o in offsets]))
+                p = (1 + (null >= score(g[None])[0]).sum()) / (rotations + 1)
+                yield pd.DataFrame({"path": [k], "p": [round(float(p), 6)]})
 
     return spark.range(0, n_paths, 1, n_paths).mapInPandas(run, "path long, p double")

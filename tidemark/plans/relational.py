@@ -232,9 +232,13 @@ def fil5(s: X, d: str) -> D:
 
 @query("fil6_assert_dates", "SELECT count(*) AS n FROM orders")
 def fil6(s: X, d: str) -> D:
-    rows = table(s, d, "orders").withColumn("file_date", F.to_date("o_orderdate"))
-    ok = F.assert_true(F.to_date("o_orderdate") == F.col("file_date"), F.lit("rows of another date"))
-    return rows.select(F.coalesce(ok.cast("int"), F.lit(1)).alias("ok")).agg(F.sum("ok").alias("n"))
+    """Files named by month; every row must be of its file's month."""
+    path = scratch(s, "by-month")
+    own = table(s, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("date"), F.date_format("o_orderdate", "yyyy-MM").alias("file_month"))
+    own.repartition("file_month").write.partitionBy("file_month").parquet(path)
+    rows = s.read.schema("o_orderkey long, date date").parquet(path)
+    file_month = F.regexp_extract(F.col("_metadata.file_path"), "file_month=([0-9-]+)", 1)
+    return readers.assert_rows(rows, F.date_format("date", "yyyy-MM") == file_month, "rows of another month").agg(F.count("o_orderkey").alias("n"))
 
 
 @query("fil7_drop_missing", sql("SELECT series_id, date, round(r, 6) AS r FROM rets WHERE r IS NOT NULL", "rets"))
@@ -520,10 +524,18 @@ def agg18(s: X, d: str) -> D:
 # Sorts, limits, sets
 
 
-@query("srt1_order", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders ORDER BY place LIMIT 1000")
+@query("srt1_order", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders")
 def srt1(s: X, d: str) -> D:
-    top = table(s, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(1000)
-    return top.select("o_orderkey", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("place"))
+    """A total order with places: range partitions are sorted side by side, and a place is the partition's offset plus its own."""
+    rows = table(s, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    path = scratch(s, "sorted")  # one file a range, named in the ranges' order
+    rows.write.parquet(path)
+    part = F.regexp_extract(F.col("_metadata.file_name"), "part-([0-9]+)", 1).cast("int")
+    saved = s.read.schema(rows.schema).parquet(path).withColumn("part", part)
+    sizes = saved.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("part")) - F.col("n")  # one row a partition
+    own = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("o_totalprice"), "o_orderkey"))
+    return saved.join(F.broadcast(sizes.select("part", before.alias("before"))), "part").select("o_orderkey", (F.col("before") + own).alias("place"))
 
 
 @query(

@@ -274,14 +274,14 @@ for _name, _kind in (("det4_hmm_gate", "hmm"), ("det7_jump_gate", "jump"), ("det
 
     @query(_name)
     def det(s: X, d: str, kind: str = _kind) -> D:
-        rows = G.detector_inputs(A.ret(s, d), A.rf(s, d)).withColumn("pos", (F.row_number().over(w3()) - 1).cast("long"))
+        rows = G.with_pos(G.detector_inputs(A.ret(s, d), A.rf(s, d)))
         return G.gate_path(rows, kind, **REFIT).select("date", "refit", "g", F.round("score", 6).alias("score"))
 
 
 @query("det6_in_sample_states")
 def det6(s: X, d: str) -> D:
     rows = G.detector_inputs(A.ret(s, d), A.rf(s, d)).withColumn("pos", (F.row_number().over(w3()) - 1).cast("long"))
-    return G.in_sample(rows, ["hmm", "jump"], **REFIT)
+    return G.in_sample(rows, ["hmm", "hmm3", "jump"], **REFIT).drop("series_id")
 
 
 @query(
@@ -497,7 +497,7 @@ _STABILITY = """, ws AS (SELECT f.refit, x.pos, (x.rv > quantile_cont(x.rv, 0.8)
 
 @query("met7_refit_stability", sql("", "refits").rstrip() + _STABILITY)
 def met7(s: X, d: str) -> D:
-    return I.refit_stability(G.window_states(spine(s, d), "rv", 0.8, **REFIT)).withColumns({c: F.round(c, 6) for c in ("flip_rate", "ari")})
+    return I.refit_stability(G.window_states(spine(s, d), "rv", 0.8, **REFIT).drop("series_id")).withColumns({c: F.round(c, 6) for c in ("flip_rate", "ari")})
 
 
 @query("inf1_circular_blocks", "SELECT b.b AS block, k.k AS k, (b.b * 7919 + k.k) % 1000 AS pos FROM range(50) b(b), range(20) k(k)")
@@ -513,12 +513,12 @@ def inf2(s: X, d: str) -> D:
 
 @query("inf3_paired_difference")
 def inf3(s: X, d: str) -> D:
-    return I.paired_difference(*two_series(s, d), n_boot=400, chunk=50, seed=7)
+    return I.paired_difference(*two_series(s, d), seed=7)
 
 
 @query("inf5_sharpe_difference")
 def inf5(s: X, d: str) -> D:
-    return I.sharpe_difference_test(*two_series(s, d), n_boot=200, chunk=50, seed=7)
+    return I.sharpe_difference_test(*two_series(s, d), seed=7)
 
 
 def two_series(s: X, d: str) -> tuple[D, str, str]:
@@ -544,18 +544,20 @@ def inf4(s: X, d: str) -> D:
 
 @query("inf6_circular_shift")
 def inf6(s: X, d: str) -> D:
-    days = tri_days(s, d).where("tri is not null")
-    return I.circular_shift_test(days, n=100, seed=7, margin=252)
+    days = tri_days(s, d).where("tri is not null").orderBy("date").toPandas()  # one daily series
+    live = int(days["g"].first_valid_index())
+    tri, rf, g = (days[c].to_numpy(dtype=float) for c in ("tri", "rf", "g"))
+    return I.circular_shift_test(s, g[live:], I.switch_score(tri, rf, live, 1, 0.001, 0.001), seed=7)
 
 
 @query("inf8_deflated_sharpe")
 def inf8(s: X, d: str) -> D:
-    return I.deflated_sharpe(small_members(s, d), ["series_id"])
+    return I.deflated_sharpe(small_members(s, d), "series_id")
 
 
 @query("inf9_effective_trials")
 def inf9(s: X, d: str) -> D:
-    return I.effective_trials(small_members(s, d), "series_id")
+    return I.effective_trials(small_members(s, d), "series_id").withColumn("variance", F.round("variance", 9))
 
 
 def members_long(s: X, d: str) -> D:
@@ -566,9 +568,9 @@ def members_long(s: X, d: str) -> D:
 
 _PBO = """WITH x AS (SELECT l_shipdate::DATE AS date, l_linenumber AS member, avg(l_discount) - 0.05 AS x FROM lineitem GROUP BY ALL),
  days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM x)),
- b AS (SELECT x.member, (SELECT max(k) FROM range(8) t(k) WHERE days.pos >= floor(k * days.n / 8.0)) AS block, x.x FROM x JOIN days USING (date)),
+ b AS (SELECT x.member, (SELECT max(k) FROM range(16) t(k) WHERE days.pos >= floor(k * days.n / 16.0)) AS block, x.x FROM x JOIN days USING (date)),
  s AS (SELECT member, block, count(*) AS n, sum(x) AS sx, sum(x * x) AS sxx FROM b GROUP BY ALL),
- m AS (SELECT mask FROM range(256) t(mask) WHERE bit_count(mask::UTINYINT) = 4),
+ m AS (SELECT mask FROM range(65536) t(mask) WHERE bit_count(mask::USMALLINT) = 8),
  p AS (SELECT mask, member, round(ins, 9) AS ins, round(outs, 9) AS outs FROM (SELECT mask, member, (isx / im) / sqrt(isxx / im - pow(isx / im, 2)) AS ins, (osx / om) / sqrt(osxx / om - pow(osx / om, 2)) AS outs FROM
    (SELECT mask, member, sum(CASE WHEN (mask >> block) & 1 = 1 THEN n END) AS im, sum(CASE WHEN (mask >> block) & 1 = 1 THEN sx END) AS isx, sum(CASE WHEN (mask >> block) & 1 = 1 THEN sxx END) AS isxx,
      sum(CASE WHEN (mask >> block) & 1 = 0 THEN n END) AS om, sum(CASE WHEN (mask >> block) & 1 = 0 THEN sx END) AS osx, sum(CASE WHEN (mask >> block) & 1 = 0 THEN sxx END) AS osxx FROM s, m GROUP BY ALL))),
@@ -578,7 +580,7 @@ _PBO = """WITH x AS (SELECT l_shipdate::DATE AS date, l_linenumber AS member, av
 
 @query("inf10_pbo_blocks", _PBO)
 def inf10(s: X, d: str) -> D:
-    return I.pbo(members_long(s, d), blocks=8).select("splits", F.round("pbo", 6).alias("pbo"))
+    return I.pbo(members_long(s, d)).select("splits", F.round("pbo", 6).alias("pbo"))
 
 
 @query("inf12_min_detectable", sql("SELECT round(2.8 * sqrt(2 * (1 - corr(a.r, b.r)) / (count(*) / 252.0)), 6) AS mde FROM small a JOIN small b USING (date) WHERE a.series_id = 'A' AND b.series_id = 'N'", "small"))
@@ -589,14 +591,15 @@ def inf12(s: X, d: str) -> D:
 
 @query("inf13_confirmatory")
 def inf13(s: X, d: str) -> D:
-    parts = [I.paired_difference(*two_series(s, d), n_boot=200, chunk=50, seed=k).select(F.lit(f"paired-{k}").alias("test"), "p") for k in (1, 2)]
-    parts.append(I.sharpe_difference_test(*two_series(s, d), n_boot=100, chunk=50, seed=3).select(F.lit("sharpe").alias("test"), "p"))
-    return I.holm(reduce(DataFrame.unionByName, parts), "p", "test")
+    """The confirmatory tests of both tracks of the walk-forward run."""
+    from tidemark.plans import walkforward
+
+    return walkforward.confirmatory_report(s, d)
 
 
 @query("inf15_null_calibration")
 def inf15(s: X, d: str) -> D:
-    return I.null_calibration(s, n_paths=16, n_days=800, rotations=60, seed=11)
+    return I.null_calibration(s, n_paths=200, n_days=2500, rotations=999, seed=11)
 
 
 # Generators
@@ -640,7 +643,7 @@ def ext_activity(s: X, d: str) -> D:
 @query("ext_orthogonal_gate", sql("SELECT f.refit, round(regr_slope(ln(abs(x.r) + 1e-6), ln(x.rv)), 6) AS slope, round(regr_intercept(ln(abs(x.r) + 1e-6), ln(x.rv)), 6) AS intercept FROM refits f JOIN spine x ON x.pos BETWEEN f.refit - 399 AND f.refit GROUP BY f.refit", "refits"))
 def ext_orthogonal(s: X, d: str) -> D:
     rows = spine(s, d)
-    refits = G.refit_positions(rows, REFIT["first"], REFIT["step"]).select(F.col("pos").alias("refit"))
+    refits = G.refit_positions(rows, REFIT["first"], REFIT["step"]).select("series_id", F.col("pos").alias("refit"))
     y, v = F.log(F.abs("r") + 1e-6), F.log("rv")
     out = G.trailing(rows, refits, REFIT["window"]).groupBy("refit")
     return out.agg(F.round(F.regr_slope(y, v), 6).alias("slope"), F.round(F.regr_intercept(y, v), 6).alias("intercept"))

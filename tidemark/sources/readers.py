@@ -18,14 +18,25 @@ from tidemark.operators.rows import repair_lines
 def _zip_lines(content: pd.Series) -> pd.Series:
     def lines(blob: bytes) -> list[str]:
         with zipfile.ZipFile(io.BytesIO(bytes(blob))) as z:
-            return z.read(z.namelist()[0]).decode("utf-8", "replace").splitlines()
+            tables = [n for n in z.namelist() if n.lower().endswith(".csv")]
+            if len(tables) != 1:
+                raise ValueError(f"a zip holds {len(tables)} CSV members: {z.namelist()}")
+            return z.read(tables[0]).decode("utf-8", "replace").splitlines()
 
     return content.map(lines)
 
 
+def assert_rows(df: DataFrame, ok: Column, message: str) -> DataFrame:
+    """``df`` as it is; a row for which ``ok`` does not hold (or is NULL) makes the job fail with the message and the row."""
+    bad = F.raise_error(F.concat(F.lit(message + ": "), F.to_json(F.struct(*df.columns))))
+    first = df.columns[0]
+    return df.withColumn(first, F.when(F.coalesce(ok, F.lit(False)), F.col(first)).otherwise(bad.cast(df.schema[first].dataType)))
+
+
 def records_from_zips(blobs: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows, all strings, of the first CSV member of each zip in ``content``; glued records are split.
+    """Rows, all strings, of the one CSV member of each zip in ``content``; glued records are split.
 
+    A zip with no or several CSV members raises; other members are ignored.
     The header line decides the order and number of fields; names are trimmed.
     """
     lines = blobs.select("path", F.posexplode(_zip_lines("content")).alias("nth", "value"))
