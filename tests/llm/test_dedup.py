@@ -161,15 +161,37 @@ def test_repeats_odd_rows(docs):
         assert got == sorted([(None, True), (4, True), (4, True), (5, False)], key=str)
 
 
-def test_index_merges_runs_and_finds_history(spark, docs):
+def test_index_merges_runs_and_finds_history(spark, docs, tmp_path):
     from tidemark.llm.repeats import Shape, profile
 
-    shape = Shape(6, 2, 2, words=True)
-    index = substring_dedup.FingerprintIndex(spark)
-    texts = [f"w{i} x{i} y{i} z{i} u{i} v{i} t{i}" for i in range(7)] + ["w0 x0 y0 z0 u0 v0 t0 more of it"]
-    hits = [index.add(profile(docs([(i, t)]), shape, "doc_id", "text")).count() for i, t in enumerate(texts)]
-    assert hits[:7] == [0] * 7 and hits[7] > 0
-    assert [len(level) for level in index.levels] == [0, 2]  # 8 runs were merged by fours
+    shape, path = Shape(6, 2, 2, words=True), f"file://{tmp_path}/index"
+    index = substring_dedup.FingerprintIndex.create(spark, path, buckets=3)
+    texts = [f"w{i} x{i} y{i} z{i} u{i} v{i} t{i}" for i in range(9)] + ["w0 x0 y0 z0 u0 v0 t0 more of it"]
+    hits = []
+    for i, t in enumerate(texts):
+        hits.append(index.add(profile(docs([(i, t)]), shape, "doc_id", "text")).count())
+        if i % 2:
+            index = substring_dedup.FingerprintIndex.open(spark, path)  # a later call goes on from the files
+    assert hits[:9] == [0] * 9 and hits[9] > 0
+    assert [len(level) for level in index.levels] == [2, 2]  # 8 of 10 runs were merged by fours
+    assert len([p for p in (tmp_path / "index").iterdir() if p.name.startswith("run_")]) == 4
+    again = substring_dedup.FingerprintIndex.open(spark, path)
+    assert again.levels == index.levels and again.buckets == 3
+    plan = again.hits(again.levels[0][0])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_matches_of_many_groups_and_long_texts(docs, monkeypatch):
+    index = RunLengthIndex([b"abcabc%d" % (g % 10) for g in range(600)], list(range(600)))
+    assert index.matching_statistics(b"abcabc0", 0) == [7, 6, 5, 4, 3, 2, 1]
+    assert index.matching_statistics(b"abcabc9", 599) == [7, 6, 5, 4, 3, 2, 1]
+    assert {x for x in index.repeats(3)} == {(i, 0, 6) for i in range(600)}
+    from tidemark.llm import repeats
+
+    monkeypatch.setattr(repeats, "PIECE", 64)  # long texts are hashed in pieces
+    texts = random_texts(seed=8, n=12) + PERIODIC
+    result = suffix_dedup.substring_dedup(docs(list(enumerate(texts))), window=40)
+    check_repeats(result, [(t or "").encode() for t in texts], 40, bytes)
 
 
 def test_run_length_index_by_brute_force():
@@ -178,7 +200,7 @@ def test_run_length_index_by_brute_force():
         window = draw.choice([3, 6, 8, 13])
         segments = [bytes(draw.choice(b"\0ab") for _ in range(draw.randint(0, 50))) * draw.choice([1, 2]) for _ in range(draw.randint(1, 5))]
         groups = [draw.randint(0, 2) for _ in segments]
-        index = RunLengthIndex(segments, groups)
+        index = RunLengthIndex(segments, groups, draw.choice([1, window]))
         covered = [set() for _ in segments]
         for i, a, b in index.repeats(window):
             covered[i].update(range(a, b))

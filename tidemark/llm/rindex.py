@@ -1,12 +1,12 @@
 """Run-length index: a run-compressed Burrows-Wheeler transform with sampled run ends.
 
 Built over a small block of segments. A segment has a group; symbols of different groups never
-match, so unrelated segments can share one sort. Suffixes are sorted by prefix doubling; only
+match, so unrelated segments can share one sort. Suffixes are sorted by prefix doubling, whose ranks are dropped;
 runs of equal preceding symbols and the suffix positions at their ends are kept, beside the text.
 
-Repeats are streamed from the samples: walking left from any adjacent pair of suffixes, the match
-grows by one symbol a step until the preceding symbols differ, which is at a run boundary. So the
-matches at run boundaries cover all others.
+A suffix's matching statistic is its longest match with another suffix of its group. One step to the right it
+shrinks by one at most, and it is more than that only where the preceding symbols of neighbouring suffixes differ, which
+is at the ends of runs. So the statistics of all positions are streamed from the matches at the run ends.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ GROUPS = 1 << 10
 
 
 class RunLengthIndex:
-    def __init__(self, segments: list[bytes], groups: list[int]):
-        """``groups`` are below GROUPS; each segment ends in a symbol of its own."""
+    def __init__(self, segments: list[bytes], groups: list[int], least: int = 1):
+        """``groups`` are below GROUPS; each segment ends in a symbol of its own; matches shorter than ``least`` count as 0."""
         self.n_segments = len(segments)
         size = np.array([len(s) for s in segments], dtype=np.int64)
         self.start = np.cumsum(size + 1) - size - 1
@@ -30,22 +30,22 @@ class RunLengthIndex:
         self.segment = np.repeat(np.arange(len(segments)), size + 1)
         self.end = (self.start + size)[self.segment]
         self.group = np.array(groups, dtype=np.int64)[self.segment]
-        self._sort(int(size.max(initial=0)))
+        self._sort(int(size.max(initial=0)), least)
 
-    def _sort(self, longest: int) -> None:
+    def _sort(self, longest: int, least: int) -> None:
         n = len(self.text)
         at = np.arange(n)
         inside = at < self.end
         symbol = np.where(inside, self.text.astype(np.int64) + 1, 0)
-        key = self.group.copy()
+        key = self.group.astype(np.uint64)  # all 64 bits are used
         for j in range(FIRST):
             shifted = np.zeros(n, dtype=np.int64)
             if j < n:
                 shifted[: n - j] = symbol[j:]
-            key = (key << 9) | np.where(at + j < self.end, shifted, 0)
+            key = (key << np.uint64(9)) | np.where(at + j < self.end, shifted, 0).astype(np.uint64)
         order = np.argsort(key, kind="stable")
         rank = self._ranks(key, order)
-        self.levels = [(FIRST, rank)]
+        near = (FIRST, rank) if FIRST <= least else None  # ranks of the longest prefixes that a match must share
         done = FIRST
         while done <= longest or done == FIRST:
             ahead = at + done
@@ -54,7 +54,8 @@ class RunLengthIndex:
             order = np.argsort(key, kind="stable")
             rank = self._ranks(key, order)
             done *= 2
-            self.levels.append((done, rank))
+            if done <= least:
+                near = (done, rank)
             if rank[order[-1]] == n - 1:
                 break
         before = order - 1
@@ -65,6 +66,16 @@ class RunLengthIndex:
         self.symbol = symbol[heads]
         self.sample_first = order[heads]
         self.sample_last = order[np.concatenate([heads[1:], [n]]) - 1] if n else order
+        p, q = self.sample_last[:-1], self.sample_first[1:]
+        live = (self.end[p] - p >= least) & (self.end[q] - q >= least)
+        p, q = p[live], q[live]
+        if near:
+            depth, rank = near
+            live = (rank[p] == rank[q]) & (rank[p + least - depth] == rank[q + least - depth])
+            p, q = p[live], q[live]
+        length = self.common(p, q)
+        long = length >= least
+        self.match_at, self.match = np.concatenate([p[long], q[long]]), np.concatenate([length[long], length[long]])
 
     @staticmethod
     def _ranks(key: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -88,22 +99,27 @@ class RunLengthIndex:
             live = live[(run == 64) & (out[live] < most[live])]
         return out
 
+    def self_statistics(self) -> np.ndarray:
+        """For each place of the joined text the longest match with another place of its group, streamed from the run ends."""
+        places = np.arange(len(self.text))
+        reach = np.zeros(len(self.text), dtype=np.int64)
+        np.maximum.at(reach, self.match_at, self.match_at + self.match)
+        return np.maximum(np.maximum.accumulate(reach) - places, 0) if len(reach) else reach
+
     def repeats(self, window: int) -> list[tuple[int, int, int]]:
-        """(segment, start, end) of matches of at least ``window`` symbols that cover all repeats."""
-        p, q = self.sample_last[:-1], self.sample_first[1:]
-        depth, rank = next((d, r) for d, r in reversed(self.levels) if d <= window) if window >= FIRST else (0, None)
-        live = (self.end[p] - p >= window) & (self.end[q] - q >= window)
-        p, q = p[live], q[live]
-        if depth:
-            live = (rank[p] == rank[q]) & (rank[p + window - depth] == rank[q + window - depth])
-            p, q = p[live], q[live]
-        length = self.common(p, q)
-        p, q, length = (x[length >= window] for x in (p, q, length))
-        found = []
-        for at in (p, q):
-            own = self.segment[at]
-            found += zip(own.tolist(), (at - self.start[own]).tolist(), (at - self.start[own] + length).tolist())
-        return found
+        """(segment, start, end) of the maximal stretches covered by matches of at least ``window`` symbols."""
+        found = self.self_statistics()
+        start = np.flatnonzero(found >= window)
+        if not len(start):
+            return []
+        edge = np.zeros(len(self.text) + 1, dtype=np.int64)
+        np.add.at(edge, start, 1)
+        np.add.at(edge, start + found[start], -1)
+        covered = np.concatenate([[0], (np.cumsum(edge[:-1]) > 0).astype(np.int8), [0]])
+        change = np.flatnonzero(np.diff(covered))
+        a, b = change[::2], change[1::2]
+        own = self.segment[a]
+        return list(zip(own.tolist(), (a - self.start[own]).tolist(), (b - self.start[own]).tolist()))
 
     def matching_statistics(self, pattern: bytes, group: int = 0) -> list[int]:
         """For each position of ``pattern`` the longest prefix from there that the group's text holds.

@@ -3,13 +3,14 @@
 ``repeats`` narrows all texts down to blocks that share a core of some 270 bytes but differ
 elsewhere. The segments of a core go to one task, where a run-length index over them marks every
 match of the full length. A core with more than ``MAX_KINDS`` contents could not be held by one task:
-its blocks are cut finer and judged again, and the windows of blocks that are still mixed are
-compared by hash, which is exact at any size.
+its blocks are cut finer and judged again, so it falls apart into longer cores, until each is small enough
+for an index. The finest core is a whole window.
 """
 
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_arrow, materialize, utf8
-from tidemark.llm.repeats import Shape, as_run, blocks, candidates, exact_windows, profile, refine, repeated, settle
+from tidemark.llm.repeats import Shape, as_run, blocks, candidates, profile, refine, repeated, settle
 from tidemark.llm.rindex import GROUPS, RunLengthIndex
 
 MAX_KINDS = 2000
@@ -70,7 +71,7 @@ def _index_spans(window: int):
             for i, name in enumerate(names):  # equal segments at several places repeat as a whole
                 if len(places[name]) > 1:
                     spans[i].append((0, len(name[1])))
-            index = RunLengthIndex([x for _, x in names], [g for g, _ in names])
+            index = RunLengthIndex([x for _, x in names], [g for g, _ in names], window)
             for i, a, b in index.repeats(window):
                 spans[i].append((a, b))
             for name, found in zip(names, spans):
@@ -113,12 +114,19 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = materialize(repeated(as_run(profiles)), "prints")
     cands = candidates(docs, profiles, prints, id_col, text_col)
     same, mixed = blocks(cands, shape)
-    same_fine, mixed_fine = refine(cands, mixed.where(F.col("kinds") > MAX_KINDS), replace(shape, group=max(1, shape.group // 8)))
-    wide = same_fine.union(exact_windows(cands, mixed_fine, shape))
-    segments = materialize(_segments(cands, mixed.where(F.col("kinds") <= MAX_KINDS)), "segments")
+    settled, parts = same, []
+    while True:
+        parts.append(_segments(cands, mixed.where(F.col("kinds") <= MAX_KINDS)))
+        hot = mixed.where(F.col("kinds") > MAX_KINDS)
+        if not hot.limit(1).count():
+            break
+        shape = replace(shape, group=max(1, shape.group // 8))
+        same, mixed = refine(cands, hot, shape)
+        settled = settled.union(same)
+    segments = materialize(reduce(DataFrame.union, parts), "segments")
     total = segments.agg(F.sum(F.length("segment"))).first()[0] or 0
     buckets = max(1, int(total // BUCKET_BYTES))
     bucketed = segments.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
     spans = bucketed.groupBy("bucket").applyInArrow(_index_spans(window), "dg binary, a long, b long")
-    spans = materialize(same.union(wide).union(spans), "spans")
+    spans = materialize(settled.union(spans), "spans")
     return settle(profiles, cands, spans, shape)
