@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 import json
 import subprocess
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -78,6 +80,24 @@ def flatten_quotes(quotes: D, levels: int = 5) -> D:
     return out.withColumn("mid", mid).withColumn("half_spread_pct", F.try_divide((F.col("ask1") - F.col("bid1")) / 2, F.col("mid")))
 
 
+def snapshot(spark: X, get_quotes: Callable[[list[str]], list[dict]], instruments: D, schema: str, at: dt.datetime, pause: Callable[[], None], size: int = 250) -> D:
+    """Flat quotes of all instruments, with their metadata and the time ``at``, which must have a zone.
+
+    The source is asked for ``size`` symbols at a time, with a pause between calls. Symbols it leaves out
+    have NULL quotes. The symbols of one snapshot, not the data, come to the driver.
+    """
+    if at.tzinfo is None:
+        raise ValueError("the time of a snapshot needs a zone")
+    symbols = sorted(r.symbol for r in instruments.select("symbol").distinct().collect())
+    found: list[dict] = []
+    for n in range(0, len(symbols), size):
+        if n:
+            pause()
+        found += get_quotes(symbols[n : n + size])
+    quoted = flatten_quotes(spark.createDataFrame(found, schema))
+    return instruments.join(quoted, "symbol", "left").withColumn("at", F.lit(at.isoformat()).cast("timestamp"))
+
+
 def strikes_around(instruments: D, forward: float, n: int) -> D:
     """Instruments whose strike is among the n either side of the one nearest to the forward."""
     w = Window.partitionBy("expiry")
@@ -181,16 +201,14 @@ def stm2(s: X, d: str) -> D:
 
 @query("stm2_sliding", "SELECT start, count(*) AS n FROM (SELECT date_trunc('day', ts) - k * INTERVAL 1 DAY AS start FROM events, range(0, 7) t(k)) GROUP BY ALL")
 def stm2_sliding(s: X, d: str) -> D:
-    ev = table(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts"))
-    out = ev.groupBy(F.window("ts", "7 days", "1 day")).agg(F.count(F.lit(1)).alias("n"))
-    return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n")
+    out = online.run_batch_of_stream(s, table(s, d, "events"), online.sliding_counts, scratch(s, "stream"), mode="complete")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
 @query("stm2_session", "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL THEN 1 ELSE 0 END AS new FROM events)) GROUP BY user_id, k")
 def stm2_session(s: X, d: str) -> D:
-    ev = table(s, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    out = ev.groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.count(F.lit(1)).alias("n"))
-    return out.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
+    out = online.run_batch_of_stream(s, table(s, d, "events"), online.session_counts, scratch(s, "stream"), mode="complete")
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
 @query("stm3_online_filter")

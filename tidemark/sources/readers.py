@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import io
+import os
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -132,6 +135,78 @@ def append_ledger(df: DataFrame, path: str) -> None:
     df.select(*sorted(df.columns)).write.mode("append").json(path)
 
 
+def write_gzip_csv(df: DataFrame, path: str) -> None:
+    """Gzipped CSV with a header; the commit protocol shows the folder's files only when all are written."""
+    df.write.mode("overwrite").option("header", True).option("compression", "gzip").csv(path)
+
+
+def append_snapshot(df: DataFrame, path: str, at: dt.datetime) -> None:
+    """Add a snapshot in a folder of its day and time; the same snapshot written again replaces itself."""
+    df.write.mode("overwrite").parquet(f"{path}/snapshot_date={at:%Y-%m-%d}/snapshot_time={at:%H%M%S}")
+
+
+def land(path: Path, body: bytes) -> None:
+    """Write a file whole or not at all: to a temporary name first, then renamed."""
+    path.parent.mkdir(parents=True, exist_ok=True)
+    part = path.with_name(path.name + f".part{os.getpid()}")
+    part.write_bytes(body)
+    os.replace(part, path)
+
+
+def download_range(
+    fetch_day: Callable[[dt.date], bytes | None], folder: str, start: dt.date, end: dt.date, today: dt.date, grace_days: int = 3
+) -> dict[str, list[dt.date]]:
+    """Land each day's file that is not there yet; what was done with each day asked for.
+
+    ``fetch_day`` gives a day's bytes, or None if the source has no such file. Then an empty marker
+    stands for the day, so that it isn't asked for again; the last ``grace_days`` days get none, as
+    their files may still come. Days that are there or marked are left alone.
+    """
+    done: dict[str, list[dt.date]] = {"landed": [], "missing": [], "pending": []}
+    for day in (start + dt.timedelta(n) for n in range((end - start).days + 1)):
+        path, marker = Path(folder, f"{day}.bin"), Path(folder, f"{day}.missing")
+        if path.exists() or marker.exists():
+            continue
+        body = fetch_day(day)
+        if body is not None:
+            land(path, body)
+            done["landed"].append(day)
+        elif (today - day).days > grace_days:
+            land(marker, b"")
+            done["missing"].append(day)
+        else:
+            done["pending"].append(day)
+    return done
+
+
+def fetch_years(fetch_years_rows: Callable[[str, str], DataFrame], start: int, end: int, key: str = "date") -> DataFrame:
+    """Rows of a source that answers a year at a time, one per ``key``: the first of equal keys in year order."""
+    parts = {f"{n:06d}": fetch_years_rows(a, b) for n, (a, b) in enumerate(chunked_years(start, end))}
+    rows = tagged_union(parts)
+    first = F.row_number().over(Window.partitionBy(key).orderBy("source"))
+    return rows.withColumn("__first", first).where("__first = 1").drop("__first", "source")
+
+
+# The first bytes of the file formats that sources send.
+MAGIC = {"xlsx": b"PK\x03\x04", "xls": b"\xd0\xcf\x11\xe0", "pdf": b"%PDF", "gzip": b"\x1f\x8b"}
+
+
+def checked_body(body: bytes, kind: str) -> bytes:
+    """The body, if it begins as its format does; an error page sent in its place raises."""
+    if not body.startswith(MAGIC[kind]):
+        raise ValueError(f"not a {kind} file: {body[:40]!r}")
+    return body
+
+
+def fetch_sources(sources: dict[str, Callable[[], DataFrame]]) -> DataFrame:
+    """Rows of all sources, tagged; a source without rows raises."""
+    parts = {name: rows() for name, rows in sources.items()}
+    empty = [name for name, part in parts.items() if not part.limit(1).count()]
+    if empty:
+        raise ValueError(f"no rows from {empty}")
+    return tagged_union(parts)
+
+
 def fetch(get, url: str, retries: int = 4, sleep=None) -> bytes | None:
     """Body of a URL by ``get(url) -> (status, body)``: 404 is None, 429, 5xx and lost connections are retried.
 

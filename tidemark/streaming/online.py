@@ -28,6 +28,20 @@ def daily_totals(stream: DataFrame) -> DataFrame:
     return out.select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
+def sliding_counts(stream: DataFrame) -> DataFrame:
+    """Events of each seven days, day by day."""
+    rows = stream.select(F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", "1 day")
+    out = rows.groupBy(F.window("ts", "7 days", "1 day")).agg(F.count(F.lit(1)).alias("n"))
+    return out.select(F.col("window.start").alias("start"), "n")
+
+
+def session_counts(stream: DataFrame) -> DataFrame:
+    """Events of each user's sessions; a pause of half an hour ends one."""
+    rows = stream.select("user_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", "1 day")
+    out = rows.groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.count(F.lit(1)).alias("n"))
+    return out.select("user_id", F.col("session_window.start").alias("start"), "n")
+
+
 def hmm_filter(stream: DataFrame, model: Hmm = MODEL) -> DataFrame:
     """``(series_id, date, p)``: the forward filter per series; the state is the filter's distribution.
 
