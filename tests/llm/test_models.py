@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, langid, mixing, quality
 from tidemark.llm.queries import pieces_path
@@ -169,10 +170,60 @@ def test_raking_meets_the_targets(spark):
     cells = [(s, la, t, draw.randint(1, 1000)) for s in "abc" for la in ("x", "y") for t in ("p", "q")]
     targets = {"source": {"a": 0.2, "b": 0.3, "c": 0.5}, "lang": {"x": 0.6, "y": 0.4}, "topic": {"p": 0.5, "q": 0.5}}
     frame = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long").coalesce(1)
-    got = mixing.rake(frame, targets, rounds=15).collect()
+    got = mixing.rake(frame, targets).collect()
     for d, shares in targets.items():
         for v, share in shares.items():
-            assert sum(r.weight for r in got if r[d] == v) == pytest.approx(share, abs=1e-6)
+            assert sum(r.weight for r in got if r[d] == v) == pytest.approx(share, abs=1e-12)
+
+
+def raked_plainly(cells, targets, rounds):
+    total = sum(c[3] for c in cells)
+    weight = {c[:3]: c[3] / total for c in cells}
+    for _ in range(rounds):
+        for k, d in enumerate(mixing.DIMENSIONS):
+            margin = {v: sum(w for c, w in weight.items() if c[k] == v) for v in targets[d]}
+            weight = {c: w * targets[d][c[k]] / margin[c[k]] for c, w in weight.items()}
+    return weight
+
+
+def test_raking_of_sparse_cells_goes_on_until_the_margins_agree(spark):
+    cells = [("a", "x", "p", 900), ("a", "y", "q", 1), ("b", "x", "q", 5), ("b", "y", "p", 70), ("c", "x", "p", 3), ("c", "y", "q", 400), ("c", "y", "p", 2)]
+    reachable = dict(zip([c[:3] for c in cells], [0.3, 0.1, 0.1, 0.1, 0.1, 0.2, 0.1]))
+    targets = {d: {v: sum(w for c, w in reachable.items() if c[k] == v) for v in {c[k] for c in cells}} for k, d in enumerate(mixing.DIMENSIONS)}
+    assert len({round(raked_plainly(cells, targets, n)[cells[0][:3]], 9) for n in (mixing.ROUNDS, 2000)}) == 2  # one block is not enough
+    want = raked_plainly(cells, targets, 2000)
+    frame = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long").coalesce(1)
+    got = {(r.source, r.lang, r.topic): r.weight for r in mixing.rake(frame, targets).collect()}
+    assert got == pytest.approx(want, abs=1e-11)
+
+
+def test_targets_that_cannot_be_met_are_named(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_ROUNDS", 12)
+    frame = spark.createDataFrame([("a", "x", "p", 5), ("b", "y", "p", 5)], "source string, lang string, topic string, tokens long").coalesce(1)
+    with pytest.warns(UserWarning, match="cannot be met"):
+        mixing.rake(frame, {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.1, "y": 0.9}})
+    assert {r.weight for r in mixing.rake(frame, {"source": {"z": 1.0}}).collect()} == {0.0}
+
+
+def test_many_cells_give_the_same_as_few(docs, monkeypatch):
+    draw = random.Random(7)
+    rows = [(i, "w " * draw.randint(0, 9) + draw.choice(["", "@", "|"]), draw.choice(["en", "de", None]), draw.choice("aab")) for i in range(300)]
+    few = {r.doc_id: (round(r.probability, 9), r.kept) for r in mixing.mix_probabilities(docs(rows)).collect()}
+    monkeypatch.setattr(mixing, "MAX_CELLS", 0)
+    assert few == {r.doc_id: (round(r.probability, 9), r.kept) for r in mixing.mix_probabilities(docs(rows)).collect()}
+    kept = sorted(r.doc_id for r in mixing.sample_mix(docs(rows)).collect())
+    assert kept == sorted(i for i, (_, k) in few.items() if k)
+
+
+def test_topics_are_the_callers(docs):
+    words = {"law": ["court", "judge"], "food": ["bread", "judge"]}
+    rows = [(1, "The Court, the judge."), (2, "bread judge"), (3, "judge"), (4, None), (5, "bread " * 300_000), (6, "")]
+    topic = mixing.topic_by_words(F.col("text"), words)
+    got = {r.doc_id: r.topic for r in mixing.mix_probabilities(docs(rows), topic=topic).collect()}
+    assert got == {1: "law", 2: "food", 3: "law", 4: "other", 5: "food", 6: "other"}
+    own = mixing.mix_probabilities(docs(rows), topic=F.col("kept")).collect()
+    assert {r.topic for r in own} == {"z"}
+    assert mixing.sample_mix(docs(rows), topic=topic).columns == docs(rows).columns
 
 
 def test_mixing_odd_rows(docs):

@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Where the setting is absent (single-machine tests) a temporary folder is made once per
-    session and also set as the checkpoint folder.
+    Where the setting is absent, on a local master (single-machine tests) a temporary folder is
+    made once per session and also set as the checkpoint folder; on a cluster this raises.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = getattr(spark, "_llm_shared_dir", None)
     if folder is None:
         folder = "file://" + tempfile.mkdtemp(prefix="llm-shared-")
