@@ -45,7 +45,8 @@ def build_session(name: str = "tidemark", master: str | None = None) -> SparkSes
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in ``spark.checkpoint.dir``; on a local master it may be unset, and a temporary folder serves."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not base and (not master.startswith("local") or master.startswith("local-cluster")):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base:
         base = getattr(spark, "_tidemark_scratch", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
