@@ -140,12 +140,10 @@ def _n_tokens() -> Column:
     return F.regexp_count(text_or_empty("text"), F.lit(WORD)).cast("long")
 
 
-def _with_probability(docs: DataFrame, targets: Targets | None, topic: Column | None, temper: float) -> DataFrame:
+def _with_probability(docs: DataFrame, keys: dict[str, Column], n_tokens: Column, targets: Targets | None, temper: float) -> DataFrame:
     """``docs`` with ``__source, __lang, __topic, __weight, __probability, __kept``."""
-    cells = materialize(
-        docs.select(*[c.alias(d) for d, c in _keys(topic).items()], _n_tokens().alias("__n")).groupBy(*DIMENSIONS).agg(F.sum("__n").alias("tokens")),
-        "mix-cells",
-    )
+    rows = docs.select(*[c.alias(d) for d, c in keys.items()], n_tokens.alias("__n"))
+    cells = materialize(rows.groupBy(*DIMENSIONS).agg(F.sum("__n").alias("tokens")), "mix-cells")
     small = cells.count() <= MAX_CELLS
     raked = rake(cells.coalesce(1) if small else cells, targets, temper, small)
     factor = F.coalesce(F.try_divide(F.col("weight"), F.col("tokens").cast("double")), F.lit(0.0))
@@ -153,7 +151,7 @@ def _with_probability(docs: DataFrame, targets: Targets | None, topic: Column |
     raked = raked.select(
         *[F.col(d).alias(f"__{d}") for d in DIMENSIONS], F.col("weight").alias("__weight"), (factor / F.lit(most) if most else F.lit(0.0)).alias("__probability")
     )
-    own = docs.withColumns({f"__own_{d}": c for d, c in _keys(topic).items()})
+    own = docs.withColumns({f"__own_{d}": c for d, c in keys.items()})
     same = None
     for d in DIMENSIONS:
         match = F.col(f"__own_{d}").eqNullSafe(F.col(f"__{d}"))
@@ -162,7 +160,7 @@ def _with_probability(docs: DataFrame, targets: Targets | None, topic: Column |
         joined = own.join(F.broadcast(raked), same)
     else:  # a hot cell's rows go to SALTS tasks
         spread = raked.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = own.withColumn("__row_salt", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int"))
+        joined = own.withColumn("__row_salt", F.pmod(F.xxhash64(F.col("doc_id"), n_tokens), F.lit(SALTS)).cast("int"))
         joined = joined.join(spread, same & (F.col("__row_salt") == F.col("__salt"))).drop("__salt", "__row_salt")
     key = F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")))
     draw = F.conv(F.substring(F.md5(key.cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
@@ -181,12 +179,13 @@ def mix_probabilities(docs: DataFrame, targets: Targets | None = None, topic: Co
     cells without tokens have probability zero; rows with a null id share one draw; repeated rows
     share theirs. An empty table gives an empty result; other columns are ignored.
     """
-    rows = docs.select("doc_id", "text", "source", "lang", *([] if topic is None else [topic.cast("string").alias("topic")]))
-    found = _with_probability(rows, targets, None if topic is None else F.col("topic"), temper)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(d) for d, c in _keys(topic).items()], _n_tokens().alias("n_tokens"))
+    rows = materialize(rows, "mix-rows")
+    found = _with_probability(rows, {d: F.col(d) for d in DIMENSIONS}, F.col("n_tokens"), targets, temper)
     return found.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        "doc_id",
         *[F.col(f"__{d}").alias(d) for d in DIMENSIONS],
-        _n_tokens().alias("n_tokens"),
+        "n_tokens",
         F.col("__weight").alias("weight"),
         F.col("__probability").alias("probability"),
         F.col("__kept").alias("kept"),
@@ -198,7 +197,7 @@ def sample_mix(docs: DataFrame, targets: Targets | None = None, topic: Column |
 
     Verdicts are by row: rows without an id share one draw against their own cells' probabilities.
     """
-    return _with_probability(docs, targets, topic, temper).where("__kept").select(docs.columns)
+    return _with_probability(docs, _keys(topic), _n_tokens(), targets, temper).where("__kept").select(docs.columns)
 
 
 def mixing_sql(rounds: int = 2 * ROUNDS, temper: float = TEMPER, table: str = "documents") -> str:
