@@ -344,3 +344,50 @@ def markov_gates(spark: SparkSession, seeds: int, n: int) -> DataFrame:
         return pd.concat([pd.DataFrame({"seed": s, "pos": np.arange(n), "g": paths.markov_gate(n, seed=[4, int(s)])}) for s in pdf["seed"]])
 
     return _tasks(spark, ["gate"], seeds).groupBy("seed").applyInPandas(run, "seed long, pos long, g double")
+
+
+def regime_durations(rows: DataFrame) -> DataFrame:
+    """Per series and state of ``g``: ``runs, realised, expected, longest`` days.
+
+    realised is the mean length of the runs; expected is 1 / (1 - p), p being the share of the
+    state's days that the same state follows (the last day has no follower). It is null if no run
+    ever ended. Days without a state are left out.
+    """
+    days = rows.where("g is not null")
+    days = days.withColumn("pos", F.row_number().over(W.by_date("series_id"))).withColumn("after", F.lead("g").over(W.by_date("series_id")))
+    days = days.withColumn("run", F.col("pos") - F.row_number().over(W.by_date("series_id", "g")))
+    runs = days.groupBy("series_id", "g", "run").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("after") == F.col("g")).alias("stay"), F.count("after").alias("seen")
+    )
+    out = runs.groupBy("series_id", "g").agg(
+        F.count(F.lit(1)).alias("runs"), F.avg("n").alias("realised"), F.max("n").alias("longest"), F.sum("seen").alias("seen"), F.sum("stay").alias("stay")
+    )
+    return out.withColumn("expected", F.try_divide(F.col("seen").cast("double"), F.col("seen") - F.col("stay"))).drop("seen", "stay")
+
+
+def event_table(rows: DataFrame, events: DataFrame, within: int = 20) -> DataFrame:
+    """``series_id, date, delay, caught`` per known event (series_id, date).
+
+    delay is the number of trading days from the event to the first stressed day, at most
+    ``within``; null and not caught without one. Events on days without a row are left out.
+    """
+    ahead = W.by_date("series_id").rowsBetween(0, within)
+    first = F.min(F.when(F.col("g") == 1, F.col("pos"))).over(ahead)
+    found = rows.withColumn("delay", first - F.col("pos")).select("series_id", "date", "delay")
+    return found.join(events.select("series_id", "date"), ["series_id", "date"]).withColumn("caught", F.col("delay").isNotNull())
+
+
+def episodes(rows: DataFrame, gap: int = 21) -> DataFrame:
+    """``series_id, start, end, days, signal_days, ret`` per episode: stressed runs merged across gaps under ``gap`` days.
+
+    days and ret, the sum of ``r``, cover every day from the first to the last stressed one.
+    """
+    w = W.by_date("series_id")
+    last = F.last(F.when(F.col("g") == 1, F.col("pos")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = (F.col("g") == 1) & (last.isNull() | (F.col("pos") - last - 1 >= gap))
+    days = rows.withColumn("episode", F.sum(F.coalesce(new, F.lit(False)).cast("int")).over(w)).where("episode > 0")
+    days = days.withColumn("stop", F.max(F.when(F.col("g") == 1, F.col("pos"))).over(Window.partitionBy("series_id", "episode"))).where("pos <= stop")
+    out = days.groupBy("series_id", "episode").agg(
+        F.min("date").alias("start"), F.max("date").alias("end"), F.count(F.lit(1)).alias("days"), F.count_if(F.col("g") == 1).alias("signal_days"), F.sum("r").alias("ret")
+    )
+    return out.drop("episode")

@@ -628,9 +628,9 @@ def gen6(s: X, d: str) -> D:
 # Spec-only extras
 
 
-@query("ext_cost_curve", sql(" UNION ALL ".join(f"SELECT {bp}::BIGINT AS bp, round(sum(ln(1 + r)), 6) + 0.0 AS growth FROM ({tri_sql(1, bp / 10000, bp / 10000)})" for bp in range(0, 101, 25)), "tri_days"))
+@query("ext_cost_curve", sql(" UNION ALL ".join(f"SELECT {bp}::BIGINT AS bp, round(sum(ln(1 + r)), 6) + 0.0 AS growth FROM ({tri_sql(1, bp / 10000, bp / 10000)})" for bp in range(0, 101, 5)), "tri_days"))
 def ext_cost(s: X, d: str) -> D:
-    grid = s.range(0, 101, 25).select(F.lit(1).cast("long").alias("lag"), F.col("id").alias("bp"), (F.col("id") / 10000).alias("cost"))
+    grid = s.range(0, 101, 5).select(F.lit(1).cast("long").alias("lag"), F.col("id").alias("bp"), (F.col("id") / 10000).alias("cost"))
     return T.switch_grid(tri_days(s, d), grid).groupBy("bp").agg(q6(F.sum(F.log1p("r"))).alias("growth"))
 
 
@@ -649,6 +649,49 @@ def ext_orthogonal(s: X, d: str) -> D:
     return out.agg(F.round(F.regr_slope(y, v), 6).alias("slope"), F.round(F.regr_intercept(y, v), 6).alias("intercept"))
 
 
+cte("gate_days", "SELECT x.date, x.pos, x.r, g.g FROM spine x JOIN gate g USING (date)", "spine", "gate")
+
+
+def gate_days(s: X, d: str) -> D:
+    return spine(s, d).select("series_id", "date", "pos", "r").join(gate(s, d).select("series_id", "date", "g"), ["series_id", "date"])
+
+
+_DURATIONS = """, n AS (SELECT g, row_number() OVER (ORDER BY date) AS i, lead(g) OVER (ORDER BY date) AS after FROM gate WHERE g IS NOT NULL),
+  k AS (SELECT *, i - row_number() OVER (PARTITION BY g ORDER BY i) AS island FROM n),
+  runs AS (SELECT g, island, count(*) AS n, count(after) AS seen, count(*) FILTER (WHERE after = g) AS stay FROM k GROUP BY ALL)
+SELECT g, count(*) AS runs, round(avg(n), 6) AS realised, max(n) AS longest, round(sum(seen)::DOUBLE / nullif(sum(seen) - sum(stay), 0), 6) AS expected FROM runs GROUP BY g"""
+
+
+@query("ext_regime_durations", sql("", "gate").rstrip() + _DURATIONS)
+def ext_durations(s: X, d: str) -> D:
+    out = G.regime_durations(gate(s, d).select("series_id", "date", "g"))
+    return out.select("g", "runs", F.round("realised", 6).alias("realised"), "longest", F.round("expected", 6).alias("expected"))
+
+
+_EVENTS = """, known AS (SELECT date, pos FROM gate_days QUALIFY row_number() OVER (PARTITION BY year(date) ORDER BY r, date) = 1)
+SELECT k.date, min(x.pos) - k.pos AS delay, min(x.pos) IS NOT NULL AS caught FROM known k LEFT JOIN gate_days x ON x.g = 1 AND x.pos BETWEEN k.pos AND k.pos + 20 GROUP BY k.date, k.pos"""
+
+
+@query("ext_event_table", sql("", "gate_days").rstrip() + _EVENTS)
+def ext_events(s: X, d: str) -> D:
+    """Known events are stood in for by the worst day of each year."""
+    rows = gate_days(s, d)
+    worst = Window.partitionBy("series_id", F.year("date")).orderBy("r", "date")
+    events = rows.withColumn("n", F.row_number().over(worst)).where("n = 1")
+    return G.event_table(rows, events).select("date", "delay", "caught")
+
+
+_EPISODES = """, on_days AS (SELECT date, pos, coalesce(pos - lag(pos) OVER (ORDER BY pos) - 1 >= 21, true)::INT AS new FROM gate_days WHERE g = 1),
+  e AS (SELECT *, sum(new) OVER (ORDER BY pos) AS k FROM on_days),
+  spans AS (SELECT k, min(date) AS start, max(date) AS stop, min(pos) AS a, max(pos) AS b, count(*) AS signal_days FROM e GROUP BY k)
+SELECT start, stop AS "end", count(*) AS days, signal_days, round(sum(x.r), 6) AS ret FROM spans JOIN gate_days x ON x.pos BETWEEN a AND b GROUP BY start, stop, signal_days"""
+
+
+@query("ext_episodes", sql("", "gate_days").rstrip() + _EPISODES)
+def ext_episodes(s: X, d: str) -> D:
+    return G.episodes(gate_days(s, d)).select("start", "end", "days", "signal_days", q6("ret").alias("ret"))
+
+
 @query("flagship_gated_index", sql(f"{_METRICS} FROM (SELECT *, r - rf AS x FROM strategy WHERE r IS NOT NULL)", "strategy"))
 def flagship(s: X, d: str) -> D:
     out = I.summary(T.switch_returns(tri_days(s, d), lag=1, buy=0.001, sell=0.001).where("r is not null"), ["series_id"])
