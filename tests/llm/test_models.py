@@ -105,6 +105,49 @@ def test_quality_on_held_out_labels(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
 
 
+def test_statistics_are_those_named():
+    text = "Aa aa 12!\n\nb| \u00e9 12!"  # a blank line does not count
+    raw, words = text.encode(), [w.encode() for w in text.split()]
+    got = dict(zip(quality.FEATURES, quality.statistics(raw), strict=True))
+    n, m = len(raw), len(words)
+    shares = [raw.count(bytes([b])) / n for b in set(raw)]
+    want = {
+        "log_bytes": np.log(n + 1), "log_words": np.log(m + 1), "mean_word": sum(map(len, words)) / m, "upper": 1 / n, "digit": 4 / n,
+        "space": 6 / n, "high": 2 / n, "common_mark": 0, "symbol": 2 / n, "bar": 1 / n, "line_rate": 2 / m, "distinct_words": 5 / m,
+        "top_word": 2 / m, "repeated_lines": 0, "long_words": 0, "marked_words": 3 / m, "repeat_next": 0,
+        "entropy": -sum(p * np.log2(p) for p in shares), "capitalised": 1 / m, "log_lines": np.log(3),
+    }
+    assert got == pytest.approx(want)
+
+
+def test_summed_normal_equations_are_those_of_all_rows(spark):
+    k = quality.COSINES
+    draw = np.random.default_rng(3)
+    rows = [(i, draw.normal(size=len(quality.FEATURES)).tolist(), float(draw.integers(0, 2))) for i in range(900)]
+    frame = spark.createDataFrame(rows, "doc_id long, x array<double>, y double").repartition(7)
+    model = quality.fit_quality(frame)
+    x, y = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, x.std(0))
+    calibrates = {r.doc_id for r in frame.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).collect()}
+    fit = np.array([r[0] not in calibrates for r in rows])
+    z = model.cosines(x)
+    penalty = np.diag([quality.RIDGE * fit.sum()] * k + [quality.RIDGE * fit.sum() * 1e-6]) + 1e-9 * np.eye(k + 1)
+    stacked = np.vstack([z[fit], np.sqrt(penalty)])
+    want = np.linalg.lstsq(stacked, np.append(y[fit], np.zeros(k + 1)), rcond=None)[0]
+    assert np.allclose(model.weights, want, atol=1e-6)
+    assert np.allclose(model.knots[1], quality.isotonic(model.raw(x[~fit]), y[~fit])[1])
+
+
+def test_features_approximate_the_gaussian_kernel(monkeypatch):
+    monkeypatch.setattr(quality, "COSINES", 20_000)
+    d = len(quality.FEATURES)
+    model = quality.QualityModel(np.zeros(d), np.ones(d), np.zeros(1), (np.zeros(0), np.zeros(0)))
+    x = np.random.default_rng(4).normal(size=(6, d))
+    z = model.cosines(x)[:, :-1]
+    gap = ((x[:, None] - x[None]) ** 2).sum(-1)
+    assert np.allclose(z @ z.T, np.exp(-gap / (2 * quality.WIDTH**2 * d)), atol=0.05)
+
+
 def test_quality_odd_rows(spark, docs):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, None, 0), (None, 1, 0), (3, 0, 1)], "doc_id long, quality int, toxic int")
     rows = [(1, "good text"), (2, None), (None, ""), (3, "$$$ " * 5000), (3, "$$$"), (4, "other")]
