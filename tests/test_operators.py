@@ -199,6 +199,25 @@ def test_stream_equals_batch(spark, tmp_path):
         assert got.loc[got["series_id"] == s, "p"].to_numpy() == pytest.approx(want, abs=1e-8)
 
 
+def test_changepoint_stream_equals_batch(spark, tmp_path):
+    from tidemark.kernels import bocpd
+    from tidemark.streaming import online
+
+    frame = spark.createDataFrame([(s, day(k + 1), 0.01 * math.sin(k * (2 if s == "a" else 3))) for s in "ab" for k in range(28)], "series_id string, date date, r double")
+    early, late = (frame.where(f"day(date) {x} 14") for x in ("<=", ">"))
+    path = f"{tmp_path}/in"
+    for part in (early, late):  # two triggers, so the second starts from the saved state
+        part.coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(frame.schema).parquet(path)
+        sink = online.bocpd_variance(stream, 1e-4).writeStream.format("parquet").option("path", f"{tmp_path}/out").outputMode("append")
+        sink.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").orderBy("series_id", "date").toPandas()
+    assert len(got) == 56
+    for s, own in frame.toPandas().sort_values("date").groupby("series_id"):
+        want = bocpd.variance_path(own["r"].to_numpy(), 1e-4)
+        assert got.loc[got["series_id"] == s, "variance"].to_numpy() == pytest.approx(want, rel=1e-12)
+
+
 def test_entry_without_the_optional_subpackage():
     import os
     import subprocess

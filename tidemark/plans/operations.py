@@ -217,6 +217,13 @@ def stm3(s: X, d: str) -> D:
     return online.run_batch_of_stream(s, A.rets(s, d).where("r is not null").select("series_id", "date", "r"), online.hmm_filter, scratch(s, "stream"), mode="append")
 
 
+@query("stm3_online_bocpd")
+def stm3_bocpd(s: X, d: str) -> D:
+    """Posterior mean variance per series by a stateful stream; equals the batch detector."""
+    rows = A.rets(s, d).where("r is not null").select("series_id", "date", "r")
+    return online.run_batch_of_stream(s, rows, lambda x: online.bocpd_variance(x, 1e-4), scratch(s, "stream"), mode="append")
+
+
 @query("stm4_ledger_stream", "SELECT event_type, count(*) AS n FROM events GROUP BY ALL")
 def stm4(s: X, d: str) -> D:
     path = scratch(s, "ledger")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.kernels import bocpd
 from tidemark.kernels.hmm import Hmm, filter_prob
 
 #: A fixed calm / stressed model for the online filter; callers pass a fitted one.
@@ -60,6 +61,33 @@ def hmm_filter(stream: DataFrame, model: Hmm = MODEL) -> DataFrame:
     )
 
 
+def bocpd_variance(stream: DataFrame, beta0: float, hazard: float = bocpd.HAZARD, longest: int = bocpd.LONGEST) -> DataFrame:
+    """``(series_id, date, variance)``: changepoint detection per series; the state is the run lengths' posteriors.
+
+    Rows of a micro-batch are taken in date order; later batches must hold later dates. The state
+    is bounded by ``longest`` run lengths a series.
+    """
+    parts_of_state = ["w", "mu", "kappa", "alpha", "beta"]
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts)).sort_values("date")
+        own = bocpd.State(beta0, hazard, longest)
+        if state.exists:
+            for name, values in zip(parts_of_state, state.get):
+                setattr(own, name, np.array(values))
+        variance = [own.step(r) for r in rows["r"].to_numpy()]
+        state.update(tuple(getattr(own, name).tolist() for name in parts_of_state))
+        yield pd.DataFrame({"series_id": key[0], "date": rows["date"], "variance": variance})
+
+    return stream.groupBy("series_id").applyInPandasWithState(
+        run,
+        "series_id string, date date, variance double",
+        ", ".join(f"{name} array<double>" for name in parts_of_state),
+        "append",
+        GroupStateTimeout.NoTimeout,
+    )
+
+
 def run_batch_of_stream(spark: SparkSession, rows: DataFrame, transform: Callable[[DataFrame], DataFrame], path: str, mode: str = "append") -> DataFrame:
     """Land rows as files, stream them through ``transform`` until all are read, and return the sink's rows."""
     rows.write.parquet(f"{path}/in")
