@@ -1,10 +1,10 @@
-"""Links of near copies by word-shingle similarity: MinHash bands propose pairs, the texts decide.
+"""Links of near copies by word-shingle similarity: SimHash balls propose pairs, the texts decide.
 
-Two texts share a band with a chance that depends on their Jaccard similarity s only,
-1 - (1 - s^ROWS)^BANDS: 0.999997 at 0.8. Only a bucket's texts meet. First each is compared with
+``balls.meetings`` has the buckets where texts meet; only a bucket's texts are compared. First each is compared with
 one of its bucket, another in each bucket; then, in buckets whose texts are not yet one component, all
 pairs across components are. So most copies of a large group cost a few comparisons each, and no link
-of a bucket is lost.
+of a bucket is lost. Pairs whose whole SimHash is too far apart for the similarity met by chance and
+are not looked up. (The module is named after its former candidates, by which the tests import it.)
 """
 
 from __future__ import annotations
@@ -15,15 +15,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.balls import bit_chance, far_bits, meetings, simhash_words
 from tidemark.llm.common import map_arrow, materialize, utf8
 from tidemark.llm.components import connected_components
 
-BANDS, ROWS, SEED = 24, 4, 42
 #: Texts of a zone that are compared by one task with as many others.
 PIECE = 512
-_DRAW = np.random.default_rng(SEED)
-_FACTORS = _DRAW.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
-_SHIFTS = _DRAW.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+#: Members up to which the pairs of a bucket are listed.
+SMALL = 16
 
 
 def shingles(text: bytes, width: int) -> set[bytes]:
@@ -35,38 +34,28 @@ def shingles(text: bytes, width: int) -> set[bytes]:
 
 
 def sketch(own: set[bytes]) -> tuple[bytes, np.ndarray]:
-    """A digest of the set, and its band hashes (none if it is empty)."""
+    """A digest of the set, and its long SimHash (none if it is empty)."""
     hashes = np.sort(np.fromiter(map(xxhash.xxh64_intdigest, own), dtype=np.uint64, count=len(own)))
     key = xxhash.xxh3_128_digest(hashes.tobytes())
-    if not len(own):
-        return key, np.zeros(0, dtype=np.int64)
-    low = (hashes >> np.uint64(32)).astype(np.uint32)
-    least = np.full(BANDS * ROWS, 0xFFFFFFFF, dtype=np.uint32)
-    for k in range(0, len(low), 1 << 12):  # bounds the products of very long texts
-        least = np.minimum(least, (_FACTORS[:, None] * low[None, k : k + (1 << 12)] + _SHIFTS[:, None]).min(axis=1))
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in least.reshape(BANDS, ROWS).T:
-        out = (out ^ column) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return key, out.view(np.int64)
+    return key, simhash_words(hashes) if len(own) else np.zeros(0, dtype=np.int64)
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``(doc_id, text, key, size, bands)``; null texts count as empty."""
+    """``(doc_id, text, key, size, bits)``; null texts count as empty."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, sizes, bands = [], [], []
+        keys, sizes, bits = [], [], []
         for text in utf8(batch.column(1)):
             own = shingles(text, width)
-            key, band = sketch(own)
+            key, word = sketch(own)
             keys.append(key)
             sizes.append(len(own))
-            bands.append(band)
-        columns = [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "key", "size", "bands"])
+            bits.append(word)
+        columns = [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "key", "size", "bits"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_arrow(rows, run, "doc_id long, text string, key binary, size long, bands array<long>")
+    return map_arrow(rows, run, "doc_id long, text string, key binary, size long, bits array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -146,20 +135,36 @@ def across(rooted: DataFrame, texts: DataFrame, width: int, similarity: float) -
     return blocks.mapInArrow(run, "u binary, v binary").distinct()
 
 
+def close(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Keys (u, v) of the ``pairs`` of nodes that sizes and the whole SimHash do not rule out."""
+    far = far_bits(bit_chance(similarity))
+    for side in ("u", "v"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("key", "size", "bits")]), side)
+    distance = F.expr("aggregate(zip_with(bits_u, bits_v, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    pairs = pairs.where(f"least(size_u, size_v) >= {similarity}D * greatest(size_u, size_v)").where(distance <= far)
+    return pairs.select(F.greatest("key_u", "key_v").alias("u"), F.least("key_u", "key_v").alias("v"))
+
+
 def links(prints: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Verified links (u, v) between keys; they span the components of all pairs that share a band."""
-    rows = prints.select("key", "size", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("bucket")
-    members = materialize(rows.join(shared, "bucket", "left_semi").distinct(), "members")
-    wanted = members.select("key").distinct()
+    """Verified links (u, v) between keys; they span the components of all pairs that meet in a bucket."""
+    nodes = prints.where("size > 0").groupBy("key").agg(F.min("size").alias("size"), F.first("bits").alias("bits"))
+    nodes = materialize(nodes.withColumn("node", F.xxhash64("key")), "nodes")
+    members = meetings(nodes, nodes.count(), similarity)
+    pairs = members.where("node <> centre").select(F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v")).distinct()
+    near = materialize(close(pairs, nodes, similarity), "near")
+    several = members.where("n > 2")  # a bucket of two is settled by its pair
+    wanted = several.select("node").distinct().join(nodes, "node").select("key")
+    wanted = wanted.union(near.select("u")).union(near.select("v")).distinct()
     texts = materialize(prints.select("key", "text").join(wanted, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")), "texts")
-    centre = members.groupBy("bucket").agg(F.min_by(F.struct("key", "size"), F.xxhash64("bucket", "key")).alias("c"))
-    pairs = members.join(centre, "bucket").where(f"key <> c.key and least(size, c.size) >= {similarity}D * greatest(size, c.size)")
-    pairs = pairs.select(F.greatest("key", "c.key").alias("u"), F.least("key", "c.key").alias("v")).distinct()
-    found = materialize(verified(pairs, texts, width, similarity), "links")
+    found = materialize(verified(near, texts, width, similarity), "links")
     roots = connected_components(found).withColumnRenamed("u", "key")
-    rooted = members.join(roots, "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
-    # a bucket of two is settled
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n"))
-    rooted = materialize(rooted.join(mixed.where("a <> b and n > 2").select("bucket"), "bucket", "left_semi"), "rooted")
-    return found.union(materialize(across(rooted, texts, width, similarity), "links"))
+    roots = nodes.join(roots, "key", "left").select("node", "key", F.coalesce("root", "key").alias("root"))
+    rooted = several.join(roots, "node").select("bucket", "n", "node", "key", "root")
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
+    rooted = materialize(rooted.join(mixed, "bucket", "left_semi"), "rooted")
+    few = rooted.where(F.col("n") <= SMALL)
+    other = few.select("bucket", F.col("node").alias("v"), F.col("root").alias("other"))
+    few = few.join(other, "bucket").where("node > v and root <> other").select(F.col("node").alias("u"), "v").distinct()
+    few = materialize(verified(close(few, nodes, similarity), texts, width, similarity), "links")
+    many = rooted.where(F.col("n") > SMALL).select("bucket", "key", "root")
+    return found.union(few).union(materialize(across(many, texts, width, similarity), "links"))

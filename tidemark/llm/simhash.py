@@ -107,9 +107,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` without near copies: of each component the document with the smallest id stays.
 
     Texts whose sets of word shingles have at least the Jaccard similarity are linked; texts without
-    words are linked to each other. Fingerprints cannot decide this: at similarity 0.8 they differ in some ten
-    bits, and a ball of half that radius has eight million variants. So the links come from
-    ``minhash.links``. All columns are kept. Rows with a null id take part, cannot be named a
+    words are linked to each other. Candidates come by SimHash and balls of half the radius, as in ``links``, but from many
+    short fingerprints: at similarity 0.8 ten of 64 bits differ, and a ball of half that has eight million
+    variants, while two of some 28 bits suffice in one table of several (``balls.meetings``). The texts decide
+    (``minhash.links``). All columns are kept. Rows with a null id take part, cannot be named a
     representative, and stay. Repeated rows of a staying id stay.
     """
     prints = materialize(minhash.sketches(docs, id_col, text_col, shingle), "sketches")
