@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import balls, minhash, simhash
 
+from .test_near_copies import brute_near
+
 
 def test_long_simhash_counts_every_hash():
     hashes = np.random.default_rng(1).integers(0, 1 << 63, 700, dtype=np.uint64) * np.uint64(2)
@@ -83,3 +85,27 @@ def test_members_apart_from_their_centre_are_compared(docs, monkeypatch):
         words = [f"{k}v{i}" for i in range(60)]
         rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words, "more"]))]
     assert {r.doc_id for r in simhash.near_dedup(docs(rows)).collect()} == {0, 2, 4}
+
+
+def test_pairs_listed_grow_with_a_group_not_with_its_square(docs, monkeypatch):
+    """Texts that all meet and of which few are links: each keeps 0.96 of one text's words, so two have about 0.7 of their shingles in common."""
+    seen, listed = [], minhash.close
+    monkeypatch.setattr(minhash, "close", lambda pairs, *a: (seen.append(pairs.count()), listed(pairs, *a))[1])
+    monkeypatch.setattr(minhash, "MANY", 16, raising=False)
+    monkeypatch.setattr(minhash, "PIECE", 50)
+    draw, words, texts, counts = random.Random(4), [f"w{i}" for i in range(300)], [], []
+    for n in (90, 180):
+        while len(texts) < n:
+            if len(texts) % 6 == 5:  # the former and one word more
+                texts.append(texts[-1] + " more")
+                continue
+            own = list(words)
+            for k in draw.sample(range(300), 10 + len(texts) % 4):
+                own[k] = f"{draw.getrandbits(40):x}"
+            texts.append(" ".join(own))
+        want = {i for i, r in enumerate(brute_near(texts, 0.8)) if i == r}
+        seen.clear()
+        assert {r.doc_id for r in simhash.near_dedup(docs(list(enumerate(texts)))).collect()} == want
+        counts.append(sum(seen))
+    assert n // 2 < len(want) < n
+    assert counts[1] < 2.5 * counts[0] and counts[1] < 0.1 * n * (n - 1) / 2

@@ -56,6 +56,11 @@ def bit_chance(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def table_width(total: int) -> int:
+    """Bits of a table for this many texts: chance meetings of a text do not grow with them."""
+    return max(20, total.bit_length() + 10)
+
+
 def table_count(width: int, chance: float) -> int:
     """Tables until a pair whose bits differ with this chance meets but for LOSS."""
     meet = sum(math.comb(width, k) * chance**k * (1 - chance) ** (width - k) for k in range(RADIUS + 1))
@@ -130,11 +135,12 @@ def _meet(low: int):
 def meetings(nodes: DataFrame, total: int, similarity: float) -> DataFrame:
     """``(bucket, node, centre, n)``: variants where two or more of ``nodes`` (node, size, bits) meet.
 
-    centre is one of the n members of a bucket, another in each. ``total`` is about the number of nodes. Passes over
+    centre is one of the n members of a bucket, another in each; the bits of bucket above ``table_width`` number its
+    table. ``total`` is about the number of nodes. Passes over
     some tables each bound the shuffle files, which go before the next pass.
     """
     spark = nodes.sparkSession
-    width = max(20, total.bit_length() + 10)
+    width = table_width(total)
     usual = table_count(width, bit_chance(similarity))
     most = max(usual, table_count(width, SHORT_CHANCE))
     parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -1,9 +1,10 @@
 """Links of near copies by word-shingle similarity: SimHash balls propose pairs, the texts decide.
 
 ``balls.meetings`` has the buckets where texts meet; only a bucket's texts are compared. First each is compared with
-one of its bucket, another in each bucket; then, in buckets whose texts are not yet one component, all
-pairs across components are. So most copies of a large group cost a few comparisons each, and no link
-of a bucket is lost. Pairs whose whole SimHash is too far apart for the similarity met by chance and
+the few it meets most; then with those of its buckets that are not yet of its component. These pairs are listed
+one by one, but not those within a large group, which are as many as the square of its size even if few of them are
+links: a group's texts are dealt into pieces and compared piece by piece, so what is sent of a text is a row a piece.
+No link of a bucket is lost. Listed pairs whose whole SimHash is too far apart for the similarity met by chance and
 are not looked up. (The module is named after its former candidates, by which the tests import it.)
 """
 
@@ -12,17 +13,19 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.balls import bit_chance, far_bits, meetings, simhash_words
+from tidemark.llm.balls import bit_chance, far_bits, meetings, simhash_words, table_width
 from tidemark.llm.common import map_arrow, materialize, utf8
 from tidemark.llm.components import connected_components
 
 #: Texts of a zone that are compared by one task with as many others.
 PIECE = 512
-#: Members up to which the pairs of a bucket are listed.
-SMALL = 16
+#: Members up to which the pairs of a bucket are listed, and partners up to which those of a text are.
+SMALL, MANY = 16, 64
+#: Partners that each text is compared with first.
+BEST = 3
 
 
 def shingles(text: bytes, width: int) -> set[bytes]:
@@ -77,9 +80,15 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
 
 
 def _compare(block: list[tuple], width: int, similarity: float) -> list[tuple[bytes, bytes]]:
-    """Links of a block's pairs that share a bucket and are neither of one component nor of one piece (of two)."""
-    sets = [shingles(row[3], width) for row in block]
+    """Links that span those of a block's pairs that share a bucket and are neither of one root nor of one piece (of two)."""
+    sets, roots = [shingles(row[3], width) for row in block], {}
     diagonal, held, out = block[0][0][1] == block[0][0][2], {}, []
+
+    def top(x):
+        while (up := roots.get(x, x)) != x:
+            roots[x] = x = roots.get(up, up)
+        return x
+
     for i, (_, key, root, _, buckets, piece) in enumerate(block):
         own, near = sets[i], set()
         for b in buckets:
@@ -88,25 +97,21 @@ def _compare(block: list[tuple], width: int, similarity: float) -> list[tuple[by
         for j in near:
             other = sets[j]
             small, large = sorted((len(own), len(other)))
-            if block[j][2] == root or (not diagonal and block[j][5] == piece) or small < similarity * large:
+            if (not diagonal and block[j][5] == piece) or small < similarity * large or (here := top(root)) == (there := top(block[j][2])):
                 continue
             both = len(own & other)
             if both >= similarity * (small + large - both):
+                roots[here] = there
                 out.append((max(key, block[j][1]), min(key, block[j][1])))
     return out
 
 
-def across(rooted: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Verified links between different roots of every bucket of ``rooted`` (bucket, key, root).
+def across(own: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Verified links that span those between different roots in a bucket and a zone, of ``own`` (key, root, zone, buckets).
 
-    Buckets that share keys are a zone; a zone's keys are dealt into pieces, and each two pieces are a block that
-    one task compares, so a large zone is many blocks and a text is sent once a piece, not once a pair.
+    A zone's keys are dealt into pieces, and each two pieces are a block that one task compares, so a large zone is
+    many blocks and a text is sent once a piece, not once a pair.
     """
-    least = rooted.groupBy("bucket").agg(F.min("key").alias("v"))
-    zones = connected_components(rooted.join(least, "bucket").select(F.col("key").alias("u"), "v"))
-    own = rooted.groupBy("key").agg(F.min("root").alias("root"), F.collect_set("bucket").alias("buckets"))
-    own = own.join(zones.withColumnRenamed("u", "key").withColumnRenamed("root", "zone"), "key", "left").withColumn("zone", F.coalesce("zone", "key"))
-    own = materialize(own, "zoned")
     pieces = own.groupBy("zone").agg(F.ceil(F.count(F.lit(1)) / PIECE).alias("g"))
     rows = own.join(texts, "key").join(pieces, "zone").withColumn("piece", F.expr("pmod(xxhash64(key), g)"))
     rows = rows.withColumn("j", F.explode(F.expr("sequence(0L, g - 1)")))
@@ -145,26 +150,66 @@ def close(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     return pairs.select(F.greatest("key_u", "key_v").alias("u"), F.least("key_u", "key_v").alias("v"))
 
 
+def texts_of(prints: DataFrame, keys: DataFrame) -> DataFrame:
+    """One text of each of the ``keys``."""
+    own = prints.select("key", "text").join(keys.distinct(), "key", "left_semi")
+    return materialize(own.groupBy("key").agg(F.min("text").alias("text")), "texts")
+
+
+def partners(members: DataFrame, total: int) -> DataFrame:
+    """``(node, heavy, best)``: whether a text has many partners, and the few it meets most, in two tables at least.
+
+    Texts that meet by chance do so in one table only.
+    """
+    table = F.shiftright("bucket", table_width(total))
+    star = members.where("node <> centre").groupBy("node", "centre")
+    star = star.agg(F.count(F.lit(1)).alias("times"), (F.min(table) != F.max(table)).alias("twice"), F.max("n").alias("n"))
+    sides = [star.select(F.col(a).alias("node"), F.col(b).alias("other"), "times", "twice", "n") for a, b in (("node", "centre"), ("centre", "node"))]
+    heavy = (F.count(F.lit(1)) > MANY) | (F.max("n") > SMALL)
+    ranked = F.when(F.col("twice"), F.struct((-F.col("times")).alias("times"), F.xxhash64("node", "other").alias("mix"), "other"))
+    best = F.slice(F.sort_array(F.collect_list(ranked)), 1, BEST)["other"]
+    return materialize(sides[0].union(sides[1]).groupBy("node").agg(heavy.alias("heavy"), best.alias("best")), "partners")
+
+
+def listed(labelled: DataFrame) -> DataFrame:
+    """Pairs (u, v) of different roots in the small buckets of ``labelled``, but for two heavy ones of a zone."""
+    member = F.struct("node", "root", F.expr("if(heavy, zone, null)").alias("zone"))
+    groups = labelled.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.collect_list(member).alias("own"))
+    others = "filter(own, y -> y.node > x.node and y.root <> x.root and not coalesce(x.zone = y.zone, false))"
+    pairs = F.expr(f"flatten(transform(own, x -> transform({others}, y -> struct(y.node as u, x.node as v))))")
+    return groups.select(F.explode(pairs).alias("pair")).select("pair.u", "pair.v").distinct()
+
+
+def zoned(labelled: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(key, root, zone, buckets)`` of the heavy texts in buckets of several roots; zones that share a large bucket are one."""
+    bucket = Window.partitionBy("bucket")
+    rows = labelled.where("heavy").withColumn("a", F.min("root").over(bucket)).withColumn("b", F.max("root").over(bucket)).where("a <> b")
+    own = rows.groupBy("node").agg(F.min("root").alias("root"), F.min("zone").alias("zone"), F.collect_set("bucket").alias("buckets"))
+    shared = labelled.where(F.col("n") > SMALL).groupBy("bucket").agg(F.collect_set("zone").alias("zones")).where("size(zones) > 1")
+    merged = connected_components(shared.select(F.explode("zones").alias("u"), F.col("zones")[0].alias("v")))
+    own = own.join(merged.select(F.col("u").alias("zone"), F.col("root").alias("whole")), "zone", "left")
+    own = own.join(nodes.select("node", "key"), "node").select("key", "root", F.coalesce("whole", "zone").alias("zone"), "buckets")
+    return materialize(own, "zoned")
+
+
 def links(prints: DataFrame, width: int, similarity: float) -> DataFrame:
     """Verified links (u, v) between keys; they span the components of all pairs that meet in a bucket."""
     nodes = prints.where("size > 0").groupBy("key").agg(F.min("size").alias("size"), F.first("bits").alias("bits"))
     nodes = materialize(nodes.withColumn("node", F.xxhash64("key")), "nodes")
-    members = meetings(nodes, nodes.count(), similarity)
-    pairs = members.where("node <> centre").select(F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v")).distinct()
+    total = nodes.count()
+    members = meetings(nodes, total, similarity)
+    met = partners(members, total)
+    pairs = met.select("node", F.explode("best").alias("other")).select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v"))
+    pairs = materialize(pairs.distinct(), "pairs")
     near = materialize(close(pairs, nodes, similarity), "near")
-    several = members.where("n > 2")  # a bucket of two is settled by its pair
-    wanted = several.select("node").distinct().join(nodes, "node").select("key")
-    wanted = wanted.union(near.select("u")).union(near.select("v")).distinct()
-    texts = materialize(prints.select("key", "text").join(wanted, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")), "texts")
-    found = materialize(verified(near, texts, width, similarity), "links")
+    found = materialize(verified(near, texts_of(prints, near.select(F.col("u").alias("key")).union(near.select("v"))), width, similarity), "links")
     roots = connected_components(found).withColumnRenamed("u", "key")
-    roots = nodes.join(roots, "key", "left").select("node", "key", F.coalesce("root", "key").alias("root"))
-    rooted = several.join(roots, "node").select("bucket", "n", "node", "key", "root")
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
-    rooted = materialize(rooted.join(mixed, "bucket", "left_semi"), "rooted")
-    few = rooted.where(F.col("n") <= SMALL)
-    other = few.select("bucket", F.col("node").alias("v"), F.col("root").alias("other"))
-    few = few.join(other, "bucket").where("node > v and root <> other").select(F.col("node").alias("u"), "v").distinct()
-    few = materialize(verified(close(few, nodes, similarity), texts, width, similarity), "links")
-    many = rooted.where(F.col("n") > SMALL).select("bucket", "key", "root")
-    return found.union(few).union(materialize(across(many, texts, width, similarity), "links"))
+    zones = connected_components(pairs).select(F.col("u").alias("node"), F.col("root").alias("zone"))
+    labels = nodes.select("node", "key").join(met.select("node", "heavy"), "node").join(roots, "key", "left").join(zones, "node", "left")
+    labels = labels.select("node", "heavy", F.xxhash64(F.coalesce("root", "key")).alias("root"), F.coalesce("zone", "node").alias("zone"))
+    labelled = materialize(members.select("bucket", "n", "node").join(labels, "node"), "labelled")
+    near = materialize(close(listed(labelled), nodes, similarity), "near")
+    own = zoned(labelled, nodes)
+    texts = texts_of(prints, own.select("key").union(near.select("u")).union(near.select("v")))
+    few = materialize(verified(near, texts, width, similarity), "links")
+    return found.union(few).union(materialize(across(own, texts, width, similarity), "links"))
